@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import terms
+from lexigraph.llm import leaks, terms, tokens
 from lexigraph.session import table
 
 
@@ -31,9 +31,24 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_counts(spark, sf).where(F.col("mark").isNotNull()).select("word", "type", "mark")
 
 
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.token_ids(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a passage of an item with at most one edit."""
+    return leaks.leaked_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the items with which they share a run of 32 letters and digits."""
+    return p9_leaks(spark, sf).where("exact").select("doc_id", "item_id")
+
+
 def queries() -> dict:
     """All queries of this subpackage by name."""
-    return {"p2_found": p2_found, "p2_scores": p2_scores, "p6_found": p6_found, "p6_counts": p6_counts}
+    return {"p2_found": p2_found, "p2_scores": p2_scores, "p6_found": p6_found, "p6_counts": p6_counts, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
 
 
 P2 = """WITH c AS (SELECT DISTINCT case_id, accusation FROM train WHERE accusation IS NOT NULL AND case_id IN (SELECT case_id FROM lac_cut)),
@@ -48,10 +63,21 @@ P2 = """WITH c AS (SELECT DISTINCT case_id, accusation FROM train WHERE accusati
       FROM s JOIN w USING (word) JOIN k USING (accusation) JOIN l USING (accusation), g)"""
 
 
+#: Full-width forms of the printable ASCII characters, in order.
+FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+HALF = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+LETTERS = f"regexp_replace(lower(translate(text, '{FULL}', '{HALF}')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+P9 = f"""WITH d AS (SELECT doc_id, {LETTERS} AS t FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {LETTERS} AS t FROM benchmark WHERE text IS NOT NULL),
+    x AS (SELECT DISTINCT item_id, t[k:k + 31] AS g FROM (SELECT item_id, t, unnest(range(1, length(t) - 30)) AS k FROM i)),
+    y AS (SELECT DISTINCT doc_id, t[k:k + 31] AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 30)) AS k FROM d))
+    SELECT DISTINCT doc_id, item_id FROM y JOIN x USING (g)"""
+
+
 def oracle_sql() -> dict:
     """SQL of the queries above that SQL can express."""
     return {
         "p2_found": P2 + " SELECT accusation, word FROM r WHERE n_in >= 10 AND df * 5 >= n_in AND df_out * 50 <= n_out",
+        "p9_found": P9,
         "p6_found": """WITH t AS (SELECT word, type, count(DISTINCT case_id) AS n FROM lac_cut
             WHERE word <> '' AND type <> '' AND case_id IS NOT NULL GROUP BY 1, 2), a AS (SELECT count(DISTINCT case_id) AS n_all FROM lac_cut)
             SELECT word, type, CASE WHEN n < 3 THEN 'rare' ELSE 'common' END AS mark FROM t, a WHERE n < 3 OR n > 0.5 * n_all""",
