@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import leaks, terms, tokens
+from lexigraph.llm import leaks, terms, tokens, vectors
 from lexigraph.session import table
 
 
@@ -21,6 +21,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return s.where(typical).select("accusation", "word")
 
 
+def p3_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar words of every word."""
+    return vectors.nearest(table(spark, sf, "tencent_word_embeddings"), "word", "vec")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of words among each other's five most similar, with cosine 0.85 or more."""
+    pairs = vectors.mutual_pairs(table(spark, sf, "tencent_word_embeddings"), "word", "vec", 0.85)
+    return pairs.select(F.col("key_a").alias("word_a"), F.col("key_b").alias("word_b"))
+
+
 def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences and cases of every term."""
     return terms.term_counts(table(spark, sf, "lac_cut"), "case_id", "pos", "word", "type")
@@ -48,7 +59,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     """All queries of this subpackage by name."""
-    return {"p2_found": p2_found, "p2_scores": p2_scores, "p6_found": p6_found, "p6_counts": p6_counts, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
+    return {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_nearest": p3_nearest, "p6_found": p6_found, "p6_counts": p6_counts, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
 
 
 P2 = """WITH c AS (SELECT DISTINCT case_id, accusation FROM train WHERE accusation IS NOT NULL AND case_id IN (SELECT case_id FROM lac_cut)),
@@ -63,6 +74,11 @@ P2 = """WITH c AS (SELECT DISTINCT case_id, accusation FROM train WHERE accusati
       FROM s JOIN w USING (word) JOIN k USING (accusation) JOIN l USING (accusation), g)"""
 
 
+P3 = """WITH v AS (SELECT word, min(vec) AS vec FROM tencent_word_embeddings WHERE word IS NOT NULL AND len(vec) = 200 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY word),
+    u AS (SELECT word, CAST(vec AS DOUBLE[200]) AS d FROM v),
+    s AS (SELECT a.word AS a, b.word AS b, array_cosine_similarity(a.d, b.d) AS c FROM u a, u b WHERE a.word <> b.word),
+    r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
+    SELECT x.a AS word_a, x.b AS word_b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.k <= 5 AND y.k <= 5 AND x.a < x.b AND x.c >= 0.85"""
 #: Full-width forms of the printable ASCII characters, in order.
 FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 HALF = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
@@ -77,6 +93,7 @@ def oracle_sql() -> dict:
     """SQL of the queries above that SQL can express."""
     return {
         "p2_found": P2 + " SELECT accusation, word FROM r WHERE n_in >= 10 AND df * 5 >= n_in AND df_out * 50 <= n_out",
+        "p3_found": P3,
         "p9_found": P9,
         "p6_found": """WITH t AS (SELECT word, type, count(DISTINCT case_id) AS n FROM lac_cut
             WHERE word <> '' AND type <> '' AND case_id IS NOT NULL GROUP BY 1, 2), a AS (SELECT count(DISTINCT case_id) AS n_all FROM lac_cut)
