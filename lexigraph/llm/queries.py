@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import leaks, terms, tokens, vectors
+from lexigraph.llm import leaks, sentences, terms, tokens, vectors
 from lexigraph.session import table
 
 
@@ -32,6 +32,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("key_a").alias("word_a"), F.col("key_b").alias("word_b"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentence spans of every distinct case."""
+    return sentences.sentence_spans(table(spark, sf, "train"), "case_id", "fact")
+
+
 def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences and cases of every term."""
     return terms.term_counts(table(spark, sf, "lac_cut"), "case_id", "pos", "word", "type")
@@ -59,7 +64,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     """All queries of this subpackage by name."""
-    return {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_nearest": p3_nearest, "p6_found": p6_found, "p6_counts": p6_counts, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
+    return {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p6_found": p6_found, "p6_counts": p6_counts, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
 
 
 P2 = """WITH c AS (SELECT DISTINCT case_id, accusation FROM train WHERE accusation IS NOT NULL AND case_id IN (SELECT case_id FROM lac_cut)),
