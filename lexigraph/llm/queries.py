@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import leaks, sentences, terms, tokens, vectors
+from lexigraph.llm import leaks, places, sentences, terms, tokens, vectors
 from lexigraph.session import table
 
 
@@ -47,6 +47,16 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_counts(spark, sf).where(F.col("mark").isNotNull()).select("word", "type", "mark")
 
 
+def p7_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The division meant by every typed place, with its score."""
+    return places.match_places(table(spark, sf, "dump_locations"), table(spark, sf, "divisions"), "loc_id")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The code of the division meant by every typed place, or none."""
+    return p7_places(spark, sf).select("loc_id", "code")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.token_ids(table(spark, sf, "documents"), "doc_id", "text")
@@ -64,7 +74,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     """All queries of this subpackage by name."""
-    return {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p6_found": p6_found, "p6_counts": p6_counts, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
+    return {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_places": p7_places, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
 
 
 P2 = """WITH c AS (SELECT DISTINCT case_id, accusation FROM train WHERE accusation IS NOT NULL AND case_id IN (SELECT case_id FROM lac_cut)),
