@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import leaks, places, sentences, terms, tokens, vectors
+from lexigraph.llm import languages, leaks, places, sentences, terms, tokens, vectors
 from lexigraph.session import table
 
 
@@ -72,9 +72,20 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_leaks(spark, sf).where("exact").select("doc_id", "item_id")
 
 
+def p10_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stretch of every document with its language and confidence."""
+    return languages.language_stretches(table(spark, sf, "documents"), "doc_id", "text", "lang").drop("label")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of the documents whose label is missing, wrong, or not the only language."""
+    found = languages.language_stretches(table(spark, sf, "documents"), "doc_id", "text", "lang")
+    return languages.mislabelled(found, "doc_id").select("doc_id", "language")
+
+
 def queries() -> dict:
     """All queries of this subpackage by name."""
-    return {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_places": p7_places, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
+    return {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_places": p7_places, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_stretches": p10_stretches}
 
 
 P2 = """WITH c AS (SELECT DISTINCT case_id, accusation FROM train WHERE accusation IS NOT NULL AND case_id IN (SELECT case_id FROM lac_cut)),
