@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import languages, leaks, places, sentences, terms, tokens, vectors
+from lexigraph.llm import languages, leaks, places, private, sentences, terms, tokens, vectors
 from lexigraph.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct private values of every case."""
+    return private.private_spans(table(spark, sf, "train"), "case_id", "fact").select("case_id", "kind", "value").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fact with typed placeholders in place of private values."""
+    return private.redacted(table(spark, sf, "train"), "case_id", "fact")
+
+
 def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every word of every charge with its divergence-from-randomness score."""
     return terms.distinctive_terms(table(spark, sf, "lac_cut"), table(spark, sf, "train"), "case_id", "pos", "word", "accusation")
@@ -85,7 +95,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     """All queries of this subpackage by name."""
-    return {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_places": p7_places, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_stretches": p10_stretches}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_places": p7_places, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_stretches": p10_stretches}
 
 
 P2 = """WITH c AS (SELECT DISTINCT case_id, accusation FROM train WHERE accusation IS NOT NULL AND case_id IN (SELECT case_id FROM lac_cut)),
