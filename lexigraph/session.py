@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -46,18 +45,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/lexigraph/{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once as parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
     The files are removed when the driver's JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexigraph/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -68,10 +71,15 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIM
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+#: File bytes behind one shuffle partition of a wide step; the rows are several times as large in memory.
+SPREAD_BYTES = 16 << 20
+
+
 def spread(df: DataFrame) -> int:
-    """How many shuffle partitions the session wants for a wide step."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Shuffle partitions of a wide step whose tasks hold their partition: the session's number, more for large inputs."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil_div(min(size, 1 << 60), SPREAD_BYTES))
 
 
 def ceil_div(a: int, b: int) -> int:
-    return math.ceil(a / b)
+    return -(-a // b)
