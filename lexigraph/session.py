@@ -77,7 +77,7 @@ SPREAD_BYTES = 16 << 20
 
 def spread(df: DataFrame) -> int:
     """Shuffle partitions of a wide step whose tasks hold their partition: the session's number, more for large inputs."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil_div(min(size, 1 << 60), SPREAD_BYTES))
 
 
