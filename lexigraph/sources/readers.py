@@ -13,11 +13,19 @@ from lexigraph import schemas
 
 
 def lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", keep_break: bool = False) -> DataFrame:
-    """One row per line, column value; keep_break leaves the line feed at the end. Other encodings are read as one-column CSV."""
-    if encoding.upper().replace("-", "") == "UTF8":
-        df = spark.read.text(path)
-    else:
-        df = spark.read.schema("value string").option("encoding", encoding).option("sep", "\x01").option("quote", "").csv(path)
+    """One row per line, column value; keep_break leaves the line feed at the end.
+
+    Lines are split by byte in parallel, which is sound for UTF-8 and for encodings such as GBK that never use a line feed as a trailing
+    byte; other encodings than UTF-8 are then decoded in Arrow batches, undecodable bytes as U+FFFD.
+    """
+    df = spark.read.text(path)
+    if encoding.upper().replace("-", "") != "UTF8":
+
+        @F.pandas_udf("string")
+        def decoded(raw: pd.Series) -> pd.Series:
+            return raw.map(lambda b: None if b is None else bytes(b).decode(encoding, "replace"))
+
+        df = df.select(decoded(F.col("value").cast("binary")).alias("value"))
     return df.withColumn("value", F.concat("value", F.lit("\n"))) if keep_break else df
 
 
