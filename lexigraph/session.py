@@ -73,12 +73,15 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIM
 
 #: File bytes behind one shuffle partition of a wide step; the rows are several times as large in memory.
 SPREAD_BYTES = 16 << 20
+#: Estimates from here on mean that Spark knows no size.
+UNKNOWN_BYTES = 1 << 53
 
 
 def spread(df: DataFrame) -> int:
     """Shuffle partitions of a wide step whose tasks hold their partition: the session's number, more for large inputs."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil_div(min(size, 1 << 60), SPREAD_BYTES))
+    known = size if size < UNKNOWN_BYTES else 0
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil_div(known, SPREAD_BYTES))
 
 
 def ceil_div(a: int, b: int) -> int:
