@@ -27,6 +27,8 @@ TAGS = 1 + 2 * len(KINDS)  # O, then B and I of every kind
 TEXTS, EPOCHS, BATCH, RATE, SEED = 1200, 7, 32, 6e-3, 5
 #: Characters of a window and of the step to the next; padding is to a multiple of BUCKET.
 WINDOW, STEP, BUCKET = 192, 128, 32
+#: Least number of updates: small samples are gone through more often.
+UPDATES = 250
 EMBED, HIDDEN = 24, 32
 #: Windows read together.
 TOGETHER = 256
@@ -155,8 +157,9 @@ class Tagger:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, total = 0, EPOCHS * -(-len(windows) // BATCH)
-        for _ in range(EPOCHS):
+        rounds = max(EPOCHS, -(-UPDATES * BATCH // len(windows)))
+        step, total = 0, rounds * -(-len(windows) // BATCH)
+        for _ in range(rounds):
             order = rng.permutation(len(windows))
             # windows of like length together, in random order
             order = order[np.argsort([len(windows[i][0]) // BUCKET for i in order], kind="stable")]
