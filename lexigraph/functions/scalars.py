@@ -1,9 +1,11 @@
-"""Scalar functions as column expressions; all stay in the JVM."""
+"""Scalar functions as column expressions; all but indel_batch stay in the JVM."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Part-of-speech tags of the segmenter and what they map to.
 PENN = {
@@ -57,6 +59,27 @@ def indel(a: Column | str, b: Column | str) -> Column:
     return F.when(x.isNull() | y.isNull(), None).when(F.length(y) == 0, F.length(x)).otherwise(F.element_at(table, -1))
 
 
+def _indel(a: str | None, b: str | None) -> int | None:
+    """len a + len b - 2 * longest common subsequence, the latter from bit vectors over a."""
+    if a is None or b is None:
+        return None
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for c in b:
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) + len(b) - 2 * (len(a) - v.bit_count())
+
+
+@F.pandas_udf(T.IntegerType())
+def indel_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    """indel in Arrow batches: for many pairs it beats the expression, whose fold builds an array per cell."""
+    return pd.Series([_indel(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
 def indel_ratio(a: Column | str, b: Column | str) -> Column:
     """indel over the shorter length, at least 1."""
     return indel(a, b) / F.greatest(F.least(F.length(_col(a)), F.length(_col(b))), F.lit(1))

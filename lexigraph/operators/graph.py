@@ -99,7 +99,8 @@ def align(names: DataFrame, aliases: DataFrame, ratio: float = 0.5) -> DataFrame
     right = b.select("pattern", "canonical", F.explode(_char_pairs("pattern")).alias("pair"))
     shared = left.join(right, "pair").where((F.col("canonical") != F.col("name")) & X.indel_may_reach("name", "pattern", ratio))
     cand = shared.select("name", "pattern", "canonical").distinct()
-    scored = cand.withColumn("score", X.indel_ratio("pattern", "name")).where(F.col("score") <= ratio)
+    least = F.greatest(F.least(F.length("pattern"), F.length("name")), F.lit(1))
+    scored = cand.withColumn("score", X.indel_batch("pattern", "name") / least).where(F.col("score") <= ratio)
     best = scored.groupBy("name").agg(F.min(F.struct("score", "canonical")).alias("b"))
     return best.select("name", F.col("b.canonical").alias("canonical"), F.col("b.score").alias("score"))
 

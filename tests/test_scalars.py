@@ -42,9 +42,9 @@ def test_indel_ratio_rejects_at_half(spark):
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.text("ab县c", max_size=6), st.text("ab县c", max_size=6)), min_size=1, max_size=20))
 def test_indel_and_substring_match_brute_force(spark, pairs):
-    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", X.indel("a", "b").alias("d"), X.common_substring("a", "b").alias("s"), X.indel_may_reach("a", "b", 0.5).alias("m"))
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", X.indel("a", "b").alias("d"), X.common_substring("a", "b").alias("s"), X.indel_may_reach("a", "b", 0.5).alias("m"), X.indel_batch("a", "b").alias("e"))
     for r in df.collect():
-        assert r.d == indel(r.a, r.b)
+        assert r.d == r.e == indel(r.a, r.b)
         assert len(r.s) == len(substring(r.a, r.b)) and r.s in r.a and r.s in r.b
         if indel(r.a, r.b) / max(min(len(r.a), len(r.b)), 1) <= 0.5:
             assert r.m
