@@ -71,8 +71,10 @@ class Judge:
 
     def abbreviation(self, word: str) -> bool:
         w = word.lower()
-        if len(w) == 1 or "." in w or w in TITLES or w in BEFORE_NUMBER:
+        if len(w) == 1 or w in TITLES or w in BEFORE_NUMBER:
             return True
+        if "." in w:  # p.m., U.S.; longer parts are those of an address
+            return max(map(len, w.split("."))) <= 2
         if self.doc["a", w] or self.doc["l", w]:
             return self.doc["a", w] > self.doc["l", w]
         a, t = self.corpus.get(("a", w), 0), self.corpus.get(("t", w), 0)
@@ -287,7 +289,8 @@ def _word_before(text: str, i: int) -> str:
     while j > 0 and i - j < 32 and (text[j - 1].isalpha() and not cjk(text[j - 1]) or text[j - 1] in ".-'’́"):
         j -= 1
     word = text[j:i].strip(".-'’")
-    return word if WORD.fullmatch(word) else ""
+    # what ends a longer token, an address say, is no word of its own
+    return word if WORD.fullmatch(word) and (j == 0 or text[j - 1].isspace() or text[j - 1] in CLOSERS or text[j - 1] in PAIRS or cjk(text[j - 1])) else ""
 
 
 def _line_ends(text: str, start: int, i: int, j: int) -> bool:

@@ -23,6 +23,7 @@ def split(text, corpus=None):
         (["当庭自愿认罪.", "净重13.16克，误差3.5克｡", "型号3.4.17．", "完。"], ""),
         (["方式：a_b@c-d.example.com。", "12345678901的机主是谢某。"], ""),
         (["Mr. Sekpel gave it at 1 p.m.", "Counsel said, \"He was not there. He was at home.\"", "Dr. R. saw a cut of 37.9 cm."], " "),
+        (["Reach him by e-mail at a.b_c@d-e.example.com.", "Counsel spoke.", "See www.some.example.org.", "No. 3 was missing."], " "),
         (["According to Art. 285, it is minor, e.g. a theft.", "The U.S. parcel weighed 5.3 kg, i.e. less.", "被告人认罪。"], " "),
         (["«No sé nada. Estaba en casa», declaró él.", "¿Por qué volvió?", "El Sr. X. llegó."], " "),
         (["Согласно ст. 123, т. е. общей норме, назначен штраф.", "Гр. Н. признал вину!", "Ушёл."], " "),
