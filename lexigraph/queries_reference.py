@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigraph.functions import scalars as X
-from lexigraph.operators import classterms, embedding, graph, relations, search, tokens, trees
+from lexigraph.operators import annotations, classterms, embedding, graph, relations, search, tokens, trees
 from lexigraph.plans import patterns
 from lexigraph.session import materialize, scratch, table
 from lexigraph.streaming import upsert
@@ -154,6 +154,33 @@ def classifier_gate(spark: SparkSession, sf: str) -> DataFrame:
     return relations.gate(rows, relations.train_trees(rows)).select(*KEYS, "pattern", "a_idx", "r_idx", "b_idx")
 
 
+def token_display(spark: SparkSession, sf: str) -> DataFrame:
+    return annotations.display(tree_tokens(spark, sf), KEYS)
+
+
+def tag_records(spark: SparkSession, sf: str) -> DataFrame:
+    return annotations.tag_records(tokens.with_offsets(segmented(spark, sf)).select("case_id", "pos", "word", "type", "begin_at", "end_at"))
+
+
+def tree_text(spark: SparkSession, sf: str) -> DataFrame:
+    return annotations.tree_text(tree_tokens(spark, sf), KEYS)
+
+
+def relation_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations of persons, written by index or name; tags that name no relation drop out."""
+    rel = tree_tokens(spark, sf).where("type = 'PER'").select(*KEYS, F.col("idx").cast("string").alias("a"), F.element_at(F.array(F.lit("is"), F.lit("at"), F.lit("none")), F.col("idx") % 3 + 1).alias("r"), F.lit("cri").alias("b"))
+    return annotations.decode(rel)
+
+
+def confirmed_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches with answers by index: every third rejected, every fifth confirmed, and the rejected ones entered anew the other way round."""
+    cand = materialize(patterns.match(tree_tokens(spark, sf), ARB, KEYS))
+    said = cand.where("a_idx % 3 = 0").select("*", F.lit("no").alias("answer"), F.lit(False).alias("entered"))
+    yes = cand.where("a_idx % 3 <> 0 and a_idx % 5 = 0").select("*", F.lit("y").alias("answer"), F.lit(False).alias("entered"))
+    new = said.select(*KEYS, F.col("b_idx").alias("a_idx"), "r_idx", F.col("a_idx").alias("b_idx"), "answer", F.lit(True).alias("entered"))
+    return annotations.confirm(cand, said.unionByName(yes).unionByName(new), KEYS)
+
+
 def indel_align_top1(spark: SparkSession, sf: str) -> DataFrame:
     return graph.align(table(spark, sf, "dump_locations").select("name"), graph.aliases_of(table(spark, sf, "divisions")))
 
@@ -262,7 +289,7 @@ def queries() -> dict:
     """All queries of this module by name."""
     own = [
         keyword_search, triple_search, line_count, keyword_rules, tfidf_topk, tf_topk, class_lists, first_n_per_class_shard, sampled_frequencies, sentence_split, token_offsets, gap_commas,
-        run_grouping, prefix_concat, tree_edges, path_match_ab, path_match_arb, lca_patterns, pattern_frequency, relation_features, label_join, classifier_gate, indel_align_top1, contains_join,
+        run_grouping, prefix_concat, tree_edges, path_match_ab, path_match_arb, lca_patterns, pattern_frequency, relation_features, token_display, tag_records, tree_text, relation_decode, confirmed_relations, label_join, classifier_gate, indel_align_top1, contains_join,
         hierarchy_links, graph_nodes, graph_edges, linked_edges, digit_fold, key_sanitize, short_name, pos_map, cosine_topk, word2vec_vocab, vector_lookup, position_features, anti_targets, last_wins,
         ontology_dump, search_page, incremental_upsert,
     ]
@@ -345,6 +372,10 @@ def oracle_sql() -> dict:
               abs(b_idx - a_idx) AS ba, CASE WHEN b_idx > a_idx THEN 1 ELSE -1 END AS ba_sign, CAST(coalesce(comma, false) AS INTEGER) AS comma, CASE WHEN stop THEN 1 ELSE -1 END AS stop
             FROM s JOIN u a ON (a.case_id, a.sent_id, a.idx) = (s.case_id, s.sent_id, a_idx) JOIN u r ON (r.case_id, r.sent_id, r.idx) = (s.case_id, s.sent_id, r_idx) JOIN u b ON (b.case_id, b.sent_id, b.idx) = (s.case_id, s.sent_id, b_idx)""",
         "label_join": f"WITH {TREE}, {AB_SQL} SELECT *, CASE WHEN a_idx % 2 = 0 THEN 1 ELSE 0 END AS label FROM ab",
+        "token_display": f"WITH {TREE} SELECT c.case_id, c.sent_id, c.idx, c.word || '(' || c.idx || coalesce(c.type, '') || '->' || coalesce(h.word, 'PUNC') || ')' AS line FROM tok c LEFT JOIN tok h ON h.case_id = c.case_id AND h.sent_id = c.sent_id AND h.idx = c.head",
+        "tag_records": f"WITH {TOK} SELECT case_id, pos, word, type, CAST(coalesce(sum(length(word)) OVER (PARTITION BY case_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start, CAST(length(word) AS INTEGER) AS length FROM t0",
+        "relation_decode": f"WITH {TREE} SELECT case_id, sent_id, idx AS a_idx, CASE idx % 3 WHEN 0 THEN -1 ELSE -5 END AS r_idx, -10 AS b_idx FROM tok WHERE type = 'PER' AND idx % 3 < 2",
+        "confirmed_relations": f"WITH {TREE}, {ARB_SQL} SELECT * FROM arb WHERE a_idx % 3 <> 0 UNION SELECT case_id, sent_id, b_idx, r_idx, a_idx FROM arb WHERE a_idx % 3 = 0",
         "contains_join": f"WITH {TOK}, {ALIASES}, o AS (SELECT DISTINCT word AS name FROM t0 WHERE type IN ('ORG', 'LOC')) SELECT DISTINCT name, canonical FROM o JOIN al ON contains(name, pattern) WHERE length(pattern) >= 2",
         "hierarchy_links": "SELECT DISTINCT d.code, d.name, d.level, p.name AS parent, p.level AS parent_level FROM divisions d JOIN divisions p ON p.code = coalesce(d.city_code, d.province_code)",
         "graph_nodes": GRAPH + " SELECT label, name, 'legalCase' AS subgraph FROM (SELECT 'LegalCase' AS label, 'Case' || case_id AS name FROM t0 UNION SELECT label, name FROM d UNION SELECT label, name FROM z)",
