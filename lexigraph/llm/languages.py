@@ -247,13 +247,13 @@ def stretches(texts: list[str | None], net: Network) -> list[list[tuple[int, int
 
 
 def _labelled(df: DataFrame, row_id: str, text: str, label: str) -> list[tuple[str, str]]:
-    """The bounded training sample: per language named, TEXTS texts in hash order (windows cut from whole texts)."""
+    """The bounded training sample: per language named, TEXTS texts in hash order, long ones by their first 20,000 characters."""
     key = F.lower(F.trim(label))
     code = F.create_map(*[F.lit(x) for kv in BY_NAME.items() for x in kv])
     named = df.withColumn("code", F.coalesce(code[key], code[F.split(key, r"[-_. (/]")[0]])).where(F.col("code").isin(LANGUAGES) & (F.length(text) >= 20))
     order = Window.partitionBy("code").orderBy(F.xxhash64(row_id), row_id)
-    picked = named.select("code", row_id, text).withColumn("r", F.row_number().over(order)).where(F.col("r") <= TEXTS)
-    return [(r[text][:20_000], r["code"]) for r in picked.orderBy("code", "r").collect()]  # at most TEXTS per language
+    picked = named.select("code", row_id, F.substring(text, 1, 20_000).alias("part")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= TEXTS)
+    return [(r["part"], r["code"]) for r in picked.orderBy("code", "r").collect()]  # at most TEXTS per language
 
 
 def language_stretches(df: DataFrame, row_id: str, text: str, label: str) -> DataFrame:
