@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigraph.session import materialize
+
 STATE = T.StructType(
     [
         T.StructField("key", T.StringType()),
@@ -162,6 +164,7 @@ def per_key(df: DataFrame, key: str, order: str, row_id: str, size: Column, part
 
 def heavy_keys(df: DataFrame, key: str, order: str, row_id: str, size: Column, share: float) -> DataFrame:
     """The non-null keys that hold at least the given share of all rows, from per_key's results."""
-    res = per_key(df, key, order, row_id, size).select(key, "n_rows")
+    # one row per key, written once: both the total and the choice read it
+    res = materialize(per_key(df, key, order, row_id, size).select(key, "n_rows"))
     total = res.agg(F.sum("n_rows").alias("all_rows"))  # one row
     return res.crossJoin(F.broadcast(total)).where(F.col(key).isNotNull() & (F.col("n_rows") >= F.lit(share) * F.col("all_rows"))).select(key)
