@@ -214,6 +214,9 @@ def stretches(texts: list[str | None], net: Network) -> list[list[tuple[int, int
         own = []
         for s, e in sentences.spans(clear, sentences.Judge(sentences.evidence(clear), {})) if clear.strip() else ():
             ok = possible(clear[s:e])
+            # a language in which the stretch is a whole sentence goes before one of which it only holds words
+            full = ok & np.array([whole(clear[s:e], code) for code in LANGUAGES])
+            ok = full if full.any() else ok
             if ok.any():
                 ws = windows(clear[s:e].encode("utf-8", "replace"))
                 owner += [len(opts)] * len(ws)

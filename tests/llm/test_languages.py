@@ -70,6 +70,10 @@ def test_single_words_links_and_markup_are_no_sentence(net):
     assert {c for _, _, c, _, ok in languages.stretches([t], net)[0] if ok} == {"zh"}
 
 
+def test_a_foreign_name_does_not_carry_its_sentence(net):
+    assert [x[2:3] + x[4:] for x in languages.stretches(["涉案电脑装有Orvek-DataSuite软件，型号8.1.18。"], net)[0]] == [("zh", True)]
+
+
 def test_table(spark):
     rng = random.Random(5)
     rows = [(i, text(rng, c), c, "x") for i, c in enumerate(languages.LANGUAGES * 12)]
