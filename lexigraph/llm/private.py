@@ -370,12 +370,17 @@ def _one_text(df: DataFrame, row_id: str, text: str) -> DataFrame:
     return df.where(F.col(row_id).isNotNull() & (F.length(text) > 0)).groupBy(F.col(row_id).cast("long").alias("id")).agg(F.min(text).alias("text"))
 
 
-def _taught(one: DataFrame) -> Tagger:
+def _taught(df: DataFrame, row_id: str, text: str) -> Tagger:
     """A tagger taught on at most TEXTS + LATIN_TEXTS texts, those with the least hashes; longer ones teach with their first 20,000 characters."""
-    slim = one.select("id", F.substring("text", 1, 20_000).alias("text"), F.xxhash64("id").alias("h"))
+    slim = df.where(F.col(row_id).isNotNull() & (F.length(text) > 0)).select(F.col(row_id).cast("long").alias("id"), F.substring(text, 1, 20_000).alias("text"))
+    slim = slim.withColumn("h", F.xxhash64("id"))
     latin = F.col("text").rlike("[a-z]{2,} [a-z]{2,} [a-z]{2,}")
-    parts = [slim.where(~latin).orderBy("h", "id").limit(TEXTS), slim.where(latin).orderBy("h", "id").limit(LATIN_TEXTS)]
-    return train_tagger([r["text"] for p in parts for r in p.select("text").collect()])
+    parts = [slim.where(~latin).orderBy("h", "id", "text").limit(TEXTS), slim.where(latin).orderBy("h", "id", "text").limit(LATIN_TEXTS)]
+    seen: dict[int, str] = {}
+    for part in parts:
+        for r in part.collect():
+            seen.setdefault(r["id"], r["text"])
+    return train_tagger(list(seen.values()))
 
 
 def private_spans(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -385,8 +390,7 @@ def private_spans(df: DataFrame, row_id: str, text: str) -> DataFrame:
     (of several texts the least one); an empty table gives no rows. Extra columns are ignored.
     """
     one = _one_text(df, row_id, text)
-    net = _taught(one)
-    shared = df.sparkSession.sparkContext.broadcast(net)  # a few hundred kilobytes
+    shared = df.sparkSession.sparkContext.broadcast(_taught(df, row_id, text))  # a few hundred kilobytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -415,8 +419,7 @@ def redacted(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
     Null and empty texts stay as they are; repeated rows stay repeated; an empty table gives no rows. Extra columns are ignored.
     """
-    net = _taught(_one_text(df, row_id, text))
-    shared = df.sparkSession.sparkContext.broadcast(net)
+    shared = df.sparkSession.sparkContext.broadcast(_taught(df, row_id, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
