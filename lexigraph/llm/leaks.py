@@ -61,9 +61,9 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], passage: int, errors: int):
         self.passage, self.errors = passage, errors
-        # A run of `passage` characters anywhere in an item holds a whole piece, whatever its offset, if a piece is at
-        # most half a passage; with more errors the pieces get shorter still.
-        self.piece = max(1, passage // (max(errors, 1) + 1))
+        # A run of `passage` characters holds errors + 1 whole pieces at any offset if errors + 2 pieces are at most one
+        # character longer than it; an edit harms one piece at most, so one piece stays whole.
+        self.piece = max(1, (passage + 1) // (errors + 2))
         self.texts = items
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(items):
@@ -92,7 +92,7 @@ class Items:
         for s in dict.fromkeys([start, *range(first, last + 1)]):
             lo = at - (i - s) - e
             best = min(best, myers(item[s : s + passage], text[max(0, lo) : at - (i - s) + passage + e]))
-            if best == 0 or best <= e and left + right < passage:
+            if best == 0 or best == 1 and left + right < passage:  # no less is left to find
                 break
         return best, left + right >= passage
 

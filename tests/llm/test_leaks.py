@@ -71,3 +71,36 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(df, it, "doc_id", "text", "item_id", "text").collect()} == {(1, i) for i in range(5)}
     assert leaks.leaked_items(df.limit(0), it, "doc_id", "text", "item_id", "text").collect() == []
     assert leaks.leaked_items(df, it.limit(0), "doc_id", "text", "item_id", "text").collect() == []
+
+
+def edited(part, at, kind, new="é"):
+    return {"change": part[:at] + new + part[at + 1 :], "drop": part[:at] + part[at + 1 :], "add": part[:at] + new + part[at:]}[kind]
+
+
+def test_one_edit_is_found_at_every_offset_and_position():
+    rng = random.Random(8)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(67))
+    known = leaks.Items([(1, item)], 32, 1)
+    missed = [
+        (s, at, kind)
+        for s in range(len(item) - 31)
+        for at in range(32)
+        for kind in ("change", "drop", "add")
+        if known.search("ÄÖ" + edited(item[s : s + 32], at, kind) + "ÜÑ").get(1, (9, False))[0] > 1
+    ]
+    assert missed == []
+
+
+def test_edits_equal_brute_force():
+    rng = random.Random(9)
+    for errors in (0, 1, 2, 3):
+        for _ in range(60):
+            item = "".join(rng.choice("abcdefgh中国法院") for _ in range(rng.randint(32, 50)))
+            s = rng.randrange(len(item) - 31)
+            text = item[s : s + 32]
+            for _ in range(rng.randint(0, errors + 1)):
+                text = edited(text, rng.randrange(len(text)), rng.choice(["change", "drop", "add"]))
+            text = "ÄÖ" + text + "ÜÑ"
+            least = min(distance(item[i : i + 32], text) for i in range(len(item) - 31))
+            got = leaks.Items([(1, item)], 32, errors).search(text)
+            assert {k: v[0] for k, v in got.items()} == ({1: least} if least <= errors else {})
