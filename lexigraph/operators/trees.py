@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigraph.session import materialize
+
 
 def edges(tokens: DataFrame, keys: list[str], by_text: bool = False) -> DataFrame:
     """Parent and child of every token with a head that exists; root tokens hang from 0.
@@ -21,23 +25,42 @@ def edges(tokens: DataFrame, keys: list[str], by_text: bool = False) -> DataFram
     return out
 
 
-def ancestors(tokens: DataFrame, keys: list[str], depth: int, seeds: DataFrame | None = None) -> DataFrame:
-    """Every token with itself and its ancestors up to depth steps: keys, idx, anc, steps, ups (labels on the way up).
+#: Steps that are planned as one chain of joins before the tokens that are not at their root yet are looked for.
+ROUND = 10
+
 
-    Depth is a bound on tree height; a chain of joins, so that no driver loop waits for data. seeds (keys, idx) limits
-    the tokens to start from.
+def ancestors(tokens: DataFrame, keys: list[str], depth: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """Every token with itself and its ancestors: keys, idx, anc, steps, ups (labels on the way up).
+
+    Without a depth every way is followed to its root, ROUND steps at a time, each written once; heads that form a ring
+    are followed for as many steps as the largest sentence has tokens. A depth bounds the steps, in one chain of joins
+    without a driver loop that waits for data. seeds (keys, idx) limits the tokens to start from.
     """
     parent = tokens.select(*keys, F.col("idx").alias("anc"), F.col("head").alias("up"), F.col("dep").alias("up_dep"))
     start = tokens if seeds is None else tokens.join(seeds.distinct(), [*keys, "idx"], "left_semi")
     level = start.select(*keys, "idx", F.col("idx").alias("anc"), F.lit(0).alias("steps"), F.array().cast("array<string>").alias("ups"))
-    out = level
-    for _ in range(depth):
-        level = (
-            level.join(parent, [*keys, "anc"])
-            .where("up > 0")
-            .select(*keys, "idx", F.col("up").alias("anc"), (F.col("steps") + 1).alias("steps"), F.concat("ups", F.array("up_dep")).alias("ups"))
-        )
-        out = out.unionByName(level)
+
+    def climb(level: DataFrame, steps: int) -> list[DataFrame]:
+        out = []
+        for _ in range(steps):
+            level = (
+                level.join(parent, [*keys, "anc"])
+                .where("up > 0")
+                .select(*keys, "idx", F.col("up").alias("anc"), (F.col("steps") + 1).alias("steps"), F.concat("ups", F.array("up_dep")).alias("ups"))
+            )
+            out.append(level)
+        return out
+
+    if depth is not None:
+        return reduce(DataFrame.unionByName, [level, *climb(level, depth)])
+    last = materialize(reduce(DataFrame.unionByName, [level, *climb(level, ROUND)]))
+    out, done, most = last, ROUND, None
+    while not (level := last.where(F.col("steps") == done)).isEmpty():
+        most = most or tokens.groupBy(*keys).count().agg(F.max("count")).first()[0]
+        if done >= most:
+            break
+        last = materialize(reduce(DataFrame.unionByName, climb(level, ROUND)))
+        out, done = out.unionByName(last), done + ROUND
     return out
 
 

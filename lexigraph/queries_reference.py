@@ -128,8 +128,7 @@ def lca_patterns(spark: SparkSession, sf: str) -> DataFrame:
     tok = materialize(tree_tokens(spark, sf).select(*KEYS, "idx", "head", "dep", "type"))
     pairs = _person_pairs(tok)
     seeds = pairs.select(*KEYS, F.explode(F.array("a_idx", "b_idx")).alias("idx"))
-    up = materialize(trees.ancestors(tok, KEYS, 10, seeds))
-    return trees.induce(pairs, up, KEYS, "a", "b")
+    return trees.induce(pairs, trees.ancestors(tok, KEYS, seeds=seeds), KEYS, "a", "b")
 
 
 def pattern_frequency(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from lexigraph import queries_reference
 from lexigraph.operators import relations, tokens, trees
 from lexigraph.plans import patterns
 
@@ -111,3 +113,23 @@ def test_gate_keeps_patterns_without_a_tree(spark):
     kept = relations.gate(df, models)
     assert kept.where("pattern = 'p'").count() == 15 and kept.where("pattern = 'q'").count() == 1
     assert relations.gate(df, {}).count() == 31
+
+
+def test_ancestors_are_followed_to_the_root(spark):
+    """A chain of 35 tokens, of which the root has two branches; and a ring, which ends."""
+    deep = [(1, 0, i, i - 1, "d", "x", "w") for i in range(1, 36)] + [(1, 0, 36, 1, "e", "x", "w")]
+    ring = [(2, 0, i, i % 3 + 1, "d", "x", "w") for i in range(1, 4)]
+    tok = spark.createDataFrame(deep + ring, "doc_id long, sent_id int, idx int, head int, dep string, type string, word string")
+    up = trees.ancestors(tok, KEYS)
+    assert up.where("doc_id = 1 and idx = 35").agg(F.max("steps")).first()[0] == 34
+    assert up.where("doc_id = 2 and idx = 1").select("anc").distinct().count() == 3
+    pairs = spark.createDataFrame([(1, 0, 35, 36)], "doc_id long, sent_id int, a_idx int, b_idx int")
+    assert trees.induce(pairs, up, KEYS, "a", "b").first().pattern == "(a)" + "()".join(["-[:d]->"] * 34 + ["<-[:e]-"]) + "(b)"
+
+
+def test_lca_of_a_long_sentence(spark, tmp_path):
+    """The common ancestor of tokens 2,048 and 4,095 of a heap is its root, 11 steps up from both."""
+    rows = [(1, i, "w", "PER" if i in (2048, 4095) else "n") for i in range(1, 4096)]
+    spark.createDataFrame(rows, "case_id long, pos int, word string, type string").write.parquet(f"{tmp_path}/lac_cut.parquet")
+    got = queries_reference.lca_patterns(spark, str(tmp_path)).collect()
+    assert [(r.a_idx, r.b_idx, r.pattern.count("->"), r.pattern.count("<-")) for r in got] == [(2048, 4095, 11, 11)]
