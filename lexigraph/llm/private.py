@@ -371,16 +371,17 @@ def _one_text(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def _taught(df: DataFrame, row_id: str, text: str) -> Tagger:
-    """A tagger taught on at most TEXTS + LATIN_TEXTS texts, those with the least hashes; longer ones teach with their first 20,000 characters."""
+    """A tagger taught on at most TEXTS + LATIN_TEXTS distinct cases, those with the least hashes; longer texts teach with their first 20,000 characters."""
     slim = df.where(F.col(row_id).isNotNull() & (F.length(text) > 0)).select(F.col(row_id).cast("long").alias("id"), F.substring(text, 1, 20_000).alias("text"))
-    slim = slim.withColumn("h", F.xxhash64("id"))
-    latin = F.col("text").rlike("[a-z]{2,} [a-z]{2,} [a-z]{2,}")
-    parts = [slim.where(~latin).orderBy("h", "id", "text").limit(TEXTS), slim.where(latin).orderBy("h", "id", "text").limit(LATIN_TEXTS)]
-    seen: dict[int, str] = {}
-    for part in parts:
-        for r in part.collect():
-            seen.setdefault(r["id"], r["text"])
-    return train_tagger(list(seen.values()))
+    slim = slim.withColumn("latin", F.col("text").rlike("[a-z]{2,} [a-z]{2,} [a-z]{2,}"))
+    # the ids are chosen without their texts, so that repeated rows don't use up the bound and only chosen texts move
+    keys = slim.select("id", "latin", F.xxhash64("id").alias("h")).distinct()
+    picked = [(r["latin"], r["h"], r["id"]) for latin, n in ((False, TEXTS), (True, LATIN_TEXTS)) for r in keys.where(F.col("latin") == latin).orderBy("h", "id").limit(n).collect()]
+    if not picked:
+        return train_tagger([])
+    chosen = df.sparkSession.createDataFrame([(i, latin) for latin, _, i in picked], "id long, latin boolean")
+    texts = {r["id"]: r["text"] for r in slim.join(F.broadcast(chosen), ["id", "latin"], "left_semi").groupBy("id").agg(F.min("text").alias("text")).collect()}
+    return train_tagger([texts[i] for i in dict.fromkeys(i for _, _, i in picked)])
 
 
 def private_spans(df: DataFrame, row_id: str, text: str) -> DataFrame:

@@ -122,3 +122,15 @@ def test_table(spark):
     assert len(out) == len(rows) and {r.fact for r in out if r.case_id in (500, 501)} == {None, ""}
     assert any("[PHONE]" in (r.fact or "") for r in out)
     assert private.private_spans(df.limit(0), "case_id", "fact").collect() == []
+
+
+def test_repeated_rows_do_not_use_up_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(private, "TEXTS", 20)
+    monkeypatch.setattr(private, "LATIN_TEXTS", 5)
+    taught = []
+    monkeypatch.setattr(private, "train_tagger", lambda texts: taught.append(texts))
+    once = [(i, f"案件{i}。") for i in range(60)] + [(i, f"this is the case {i}") for i in range(100, 120)]
+    rows = once * 3 + [r for r in once if r[0] % 7 == 0] * 40
+    for table in (once, rows):
+        private._taught(spark.createDataFrame(table, "case_id long, fact string"), "case_id", "fact")
+    assert taught[0] == taught[1] and len(set(taught[0])) == len(taught[0]) == 25
