@@ -12,6 +12,7 @@ The labelled spans are those that a small set of context rules finds in a bounde
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,19 +42,24 @@ EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_])?\s?(?:@|＠|\[
 PHONE = re.compile(rf"(?<![0-9０-９A-Za-z*])(?:(?:\+86|0086)[ -]?)?(?:1{D}{{2}}[ -]?{D}{{4}}[ -]?{D}{{4}}|１{D}{{10}}|[(（]0{D}{{2,3}}[)）][ -]?{D}{{7,8}}|0{D}{{2,3}}-{D}{{7,8}}|０{D}{{2,3}}[-－]{D}{{7,8}})(?![0-9０-９*])")
 ID = re.compile(rf"(?<![0-9０-９A-Za-z*])(?:{D}{{6}}([ -]?){D}{{8}}\1{D}{{3}}[0-9０-９XxＸｘ]|{D}{{15}})(?![0-9０-９A-Za-z*])")
 HAN = "一-鿿"
+HAN_CHAR = re.compile(f"[{HAN}]")
 NUMBER = r"[0-9０-９一二三四五六七八九十百零〇两]"
 TAIL = re.compile(rf".*(?:{NUMBER}(?:号楼|[号室栋幢座弄组楼层院])?)", re.S)
 HOUSE = re.compile(rf"{NUMBER}+(?:[-－]{NUMBER}+)*[号室栋弄]")
 STREET = re.compile(r"\d+[A-Za-z]? [A-Z][a-z]+(?: [A-Z][a-z]+)*")
-PLACE = rf"(?:[{HAN}]{{2}}(?:[{HAN}]族自治[州县旗]|自治[区州县旗]|地区|[省市县区]))"
+LEVEL = rf"(?:[{HAN}]{{1,3}}族自治[州县旗]|自治[区州县旗]|地区|[省市县区])"
+#: Words before an address.
+LEAD = "户籍地|户籍所在地|户籍|籍贯|地址|住址|住所|住|位于|位在|房屋|在|为|是|至|到|从|往|经"
+PLACE = rf"(?:[{HAN}]{{1,8}}(?:[{HAN}]族自治[州县旗]|自治[区州县旗]|地区|[省市县区]))"
 FULL_NAME = re.compile(rf"[{HAN}]{{2,4}}·[{HAN}]{{2,4}}|[{HAN}]{{1,2}}[ 　]?[{HAN}]{{1,2}}")
-LATIN_NAME = re.compile(r"[A-Z][a-z]+(?: [A-Z][a-z]+)+")
+#: Small words inside names of other scripts.
+PARTICLES = frozenset("al bin da das de del della den der di do dos du e el ibn la le ter van von y".split())
 NO_NAME = re.compile(r"[某氏]|[家记](?:$)")
 
 # Context rules of the labels; the labelled part is group 1.
 NAME = rf"([{HAN}]{{2,4}}·[{HAN}]{{2,4}}|[{HAN}]{{1,2}}[ 　]?[{HAN}]{{1,2}})"
 RULES = [
-    ("address", re.compile(rf"({PLACE}{{1,4}}[{HAN}]{{0,10}}?(?:街|路|巷|大道|道|村|镇){NUMBER}+(?:(?:[弄号组栋幢座室楼]|[-－]){NUMBER}*)*)")),
+    ("address", re.compile(rf"(?:(?:{LEAD})|(?<![{HAN}]))((?:(?!{LEAD})[{HAN}]){{1,8}}?{LEVEL}{PLACE}{{0,3}}?[{HAN}]{{0,10}}?(?:街|路|巷|大道|道|村|镇){NUMBER}+(?:(?:[弄号组栋幢座室楼]|[-－]){NUMBER}*)*)")),
     ("address", re.compile(r"(?:address as|sent to|lives? at|residing at) (\d+ [A-Z][a-z]+ [A-Z][a-z]+)")),
     ("name", re.compile(rf"(?:被告人|被害人|证人|出租人|其妻|收件人为|注册资料：|机主是|承租人|户主){NAME}(?=，公民身份|（住|证实|提供证件|从[A-Za-z]|，\n?[+(（0-9０-９]|/|，\n?与本案)")),
     ("name", re.compile(rf"(?<![{HAN}]){NAME}(?=医生出具|将所得)")),
@@ -300,6 +306,21 @@ def train_tagger(texts: list[str]) -> Tagger:
     return net.train(windows) if windows else net
 
 
+def full_name(value: str) -> bool:
+    """Whether a value has the shape of a full name: ideographs, Hangul, or two or more words in letters of any other script."""
+    if FULL_NAME.fullmatch(value):
+        return not NO_NAME.search(value)
+    words = value.split()
+    if any(not c.isalpha() and unicodedata.category(c)[0] != "M" and c not in "-'’‐" for w in words for c in w):
+        return False
+    if re.fullmatch("[가-힣]{2,5}|[가-힣]{1,2} [가-힣]{1,3}|[ァ-ヺー]+[・･ ][ァ-ヺー]+", value) or re.fullmatch(rf"(?=.*[{HAN}])[{HAN}ぁ-ゖァ-ヺー々]{{2,7}}(?<=[ぁ-ゖァ-ヺー々])", value):
+        return True
+    if len(words) < 2 or any(HAN_CHAR.search(w) for w in words):
+        return False
+    # a letter that has no case is as good as a capital one; initials are no names
+    return all(w in PARTICLES or len(w) > 1 and not w[0].islower() for w in words) and words[-1] not in PARTICLES and not value.isupper()
+
+
 def shaped(text: str, s: int, e: int, kind: str) -> tuple[int, int] | None:
     """The span trimmed to the shape of its kind, or nothing if it has none."""
     if kind in ("email", "phone", "id_number"):
@@ -318,12 +339,13 @@ def shaped(text: str, s: int, e: int, kind: str) -> tuple[int, int] | None:
         m = TAIL.match(text, s, e)
         if not m or not re.search(PLACE, text[s : m.end()]) or not HOUSE.search(text, s, m.end()) and not re.search(rf"{NUMBER}[-－]{NUMBER}", text[s : m.end()]):
             return None
-        first = re.search(PLACE, text[s : m.end()])
-        return s + first.start(), m.end()
+        # ideographs at the head belong to the first name, however long it is
+        first = 0 if HAN_CHAR.match(text[s]) else re.search(PLACE, text[s : m.end()]).start()
+        return s + first, m.end()
     while s < e and text[e - 1].isspace():
         e -= 1
     value = text[s:e]
-    if LATIN_NAME.fullmatch(value) or FULL_NAME.fullmatch(value) and not NO_NAME.search(value) and text[e : e + 1] not in ("某", "氏"):
+    if full_name(value) and text[e : e + 1] not in ("某", "氏"):
         return s, e
     return None
 

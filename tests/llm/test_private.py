@@ -134,3 +134,18 @@ def test_repeated_rows_do_not_use_up_the_sample(spark, monkeypatch):
     for table in (once, rows):
         private._taught(spark.createDataFrame(table, "case_id long, fact string"), "case_id", "fact")
     assert taught[0] == taught[1] and len(set(taught[0])) == len(taught[0]) == 25
+
+
+@pytest.mark.parametrize("place", ["石家庄市长安区建设路12号", "呼和浩特市新城区兴安街3号", "内蒙古自治区包头市和平路8号2栋", "雄县安宁路5号"])
+def test_addresses_keep_their_first_name_whole(place):
+    assert private.shaped(place, 0, len(place), "address") == (0, len(place))
+    for lead in ("户籍地", "现住", "，", "开户地址为"):
+        text = f"被告人{lead}{place}。"
+        assert (place, "address") in {(text[s:e], k) for s, e, k in private.teach(text)}
+
+
+def test_names_in_letters_of_any_script():
+    for value in ("José García", "Łukasz Żak", "Nguyễn Thị Hương", "Иван Петров", "김민수", "สมชาย ใจดี", "Ludwig van Beethoven", "Jean-Luc Müller", "Mary Smith"):
+        assert private.shaped(value, 0, len(value), "name") == (0, len(value)), value
+    for value in ("J. S.", "Мария", "the house", "王某", "José 12", "A B"):
+        assert private.shaped(value, 0, len(value), "name") is None, value
