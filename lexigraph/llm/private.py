@@ -69,8 +69,32 @@ RULES = [
 ]
 
 
+SURNAMES = frozenset(
+    "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤温康施文牛樊葛邢安齐易乔伍庞颜倪庄聂章鲁岳翟殷詹申耿关兰焦俞左柳甘祝包宁尚符舒阮柯纪梅童凌毕单季裴霍涂成苗谷盛曲翁冉骆蓝路游辛靳管柴蒙鲍华喻祁蒲房滕屈饶解牟艾尤阳时穆农司卓古吉缪简车项连芦麦褚娄窦戚岑景党宫费卜冷晏席卫米柏宗瞿桂全佟应臧闵苟邬边卞姬师仇栾隋商刁沙荣巫寇桑郎甄丛仲虞敖巩佘池查麻苑迟邝花楚封水凤"
+)
+COMPOUND = "欧阳 上官 司马 诸葛 东方 皇甫 尉迟 公孙 慕容 令狐 长孙 宇文 司徒 端木 夏侯 南宫 西门 独孤".split()
+GIVEN = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华建国文玉兰红梅志海波云飞龙凤春雪晓东佳宇雅思若子彬斌浩然欣怡梓涵俊峰鹏程宁瑞琳倩颖慧丹萍鑫洁婷莹辉凯旭阳晨曦"
+#: What a person is called by in front of the name, in court texts and elsewhere.
+ROLES = "律师 审判长 审判员 陪审员 书记员 法官 检察员 检察官 辩护人 代理人 原告 被告 上诉人 申请人 第三人 法定代表人 司机 老师 教师 经理 主任 医生 护士 会计 邻居 同事 朋友 其父 其母 其子 其女 其兄 其弟 其夫 其妻 被告人 被害人 证人 承租人 出租人 户主 经办人 联系人 负责人 村民 职工".split()
+#: Division names of other lengths than two ideographs, put in place of those of the sample.
+STEMS = "石家庄 呼和浩特 乌鲁木齐 哈尔滨 齐齐哈尔 内蒙古 黑龙江 秦皇岛 张家口 马鞍山 景德镇 连云港 驻马店 三门峡 平顶山 攀枝花 六盘水 防城港 葫芦岛 佳木斯 牡丹江 七台河 双鸭山 鄂尔多斯 巴彦淖尔 呼伦贝尔 锡林郭勒 克拉玛依 嘉峪关 日喀则 西双版纳 石嘴山 蠡 雄 易 滦".split()
+#: Words that may stand before a person instead of a role; words before an English address, and parts of one.
+BEFORE = "昨天 当天下午 随后， 经查， 后来 当时 其中 同村 另有 至于 据称 因 对 由 让 向 跟 和".split()
+TO = ["moved to", "lived at", "house at", "near", "outside", "visited", "office at", "arrived at", "went to", "left"]
+ROADS = "Oak Maple Church Station Mill Park Victoria Green Highfield Kings Queens North West Bridge Springfield Elm Grange Manor Chapel Windsor".split()
+#: Shares of anonymised persons, of roles and of place names that teach in another wording.
+VARIED, VARIED_PLACES = 0.4, 0.2
+ANONYMOUS = re.compile(r"(?P<role>被告人|被害人|证人)?(?P<who>[一-鿿]某(?:[某甲乙丙丁戊己]|[0-9１-９](?![0-9０-９]))?)(?![某氏])")
+ROLE_NAME = re.compile(rf"(?:{'|'.join(ROLES)}|名叫|姓名[：:])((?:{'|'.join(COMPOUND)})[{HAN}]{{1,2}}|[{''.join(sorted(SURNAMES))}][ 　]?[{HAN}]{{1,2}})(?![{HAN}·])")
+UPPER = "A-ZÀ-ÖØ-ÞĀ-ſ"
+WORD = rf"[{UPPER}][^\W\d_]+"
+STREETS = "Street|Road|Lane|Avenue|Drive|Close|Court|Way|Place|Square|Terrace|Crescent|Boulevard|Row|Gardens|Walk|Mews|Grove|Alley|St|Rd|Ave|Blvd"
+STREET_LABEL = re.compile(rf"(?<![\w-])\d+[A-Za-z]? (?:{WORD} ){{1,4}}(?:{STREETS})\b")
+LATIN_UNSURE = re.compile(rf"(?<![\w-])(?:\d+[A-Za-z]? )?{WORD}(?: {WORD})+")
+
+
 def teach(text: str) -> list[tuple[int, int, str]]:
-    """Spans that the shapes and context rules find; earlier ones win where they overlap."""
+    """Spans that the shapes, evidence and context rules find; earlier ones win where they overlap."""
     found: list[tuple[int, int, str]] = []
     taken = np.zeros(len(text), bool)
 
@@ -79,16 +103,95 @@ def teach(text: str) -> list[tuple[int, int, str]]:
             taken[s:e] = True
             found.append((s, e, kind))
 
-    for kind, shape in (("email", EMAIL), ("id_number", ID), ("phone", PHONE)):
+    for kind, shape in (("email", EMAIL), ("id_number", ID), ("phone", PHONE), ("address", STREET_LABEL)):
         for m in shape.finditer(text):
             add(m.start(), m.end(), kind)
-    for kind, rule in RULES:
+    for kind, rule in [*RULES, ("name", ROLE_NAME)]:
         for m in rule.finditer(text):
             if kind != "name" or not NO_NAME.search(m[1]):
                 add(m.start(1), m.end(1), kind)
     return sorted(found)
 
 
+def _candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Every place where a surname and one or two ideographs stand, whatever is around them."""
+    for i, c in enumerate(text):
+        n = 2 if text[i : i + 2] in COMPOUND else 1 if c in SURNAMES else 0
+        for k in (2, 1) if n else ():
+            given = text[i + n : i + n + k]
+            if len(given) == k and all(HAN_CHAR.match(g) for g in given) and not NO_NAME.search(text[i : i + n + k]) and text[i + n + k : i + n + k + 1] not in ("某", "氏"):
+                yield i, i + n + k
+
+
+def labels(texts: list[str]) -> list[np.ndarray]:
+    """Tags of texts; -1 where nobody can tell, so that it teaches nothing.
+
+    A name that one place of the sample shows without doubt is one wherever it stands. Other strings of a surname and
+    ideographs, and words with capitals, are unsure if they are rare in the sample; frequent ones are words.
+    """
+    spans = [teach(t) for t in texts]
+    sure = {t[s:e] for t, found in zip(texts, spans) for s, e, kind in found if kind == "name"}
+    count: Counter = Counter()
+    for t in texts:
+        count.update({t[s:e] for s, e in _candidates(t)} | {m[0] for m in LATIN_UNSURE.finditer(t)})
+    most = max(2, len(texts) // 300)
+    out = []
+    for t, found in zip(texts, spans):
+        tags = np.zeros(len(t), np.int64)
+
+        def put(s: int, e: int, kind: str) -> None:
+            k = 1 + 2 * KINDS.index(kind)
+            tags[s], tags[s + 1 : e] = k, k + 1  # noqa: B023
+
+        for s, e, kind in found:
+            put(s, e, kind)
+        places = list(_candidates(t))
+        for s, e in places:
+            if t[s:e] in sure and not tags[s:e].any() and (e - s > 2 or not HAN_CHAR.match(t[e : e + 1])):
+                put(s, e, "name")
+        for s, e in [*places, *(m.span() for m in LATIN_UNSURE.finditer(t))]:
+            if count[t[s:e]] <= most and not (tags[s:e] > 0).any():
+                tags[s:e] = -1
+        out.append(tags)
+    return out
+
+
+def vary(text: str, tags: np.ndarray, rng: np.random.Generator) -> tuple[str, np.ndarray]:
+    """The text with some anonymised persons named, under any role, and some places of addresses by longer or shorter names."""
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    given = GIVEN + "".join(c for c in text if HAN_CHAR.match(c) and c not in "某氏家记")[:40]
+    surnames = sorted(SURNAMES)
+    name, address = 1 + 2 * KINDS.index("name"), 1 + 2 * KINDS.index("address")
+    edits: list[tuple[int, int, str, list[int]]] = []
+    for m in ANONYMOUS.finditer(text):
+        if (tags[m.start() : m.end()] <= 0).all() and rng.random() < VARIED:
+            role = pick([m["role"], pick(ROLES), pick(ROLES), pick(BEFORE), ""]) if m["role"] else ""
+            new, kinds = role, [0] * len(role)
+            for k in range(1 + (rng.random() < 0.15)):
+                who = (pick(COMPOUND) if rng.random() < 0.05 else pick(surnames)) + "".join(pick(given) for _ in range(int(rng.integers(1, 3))))
+                new, kinds = new + "和" * k + who, [*kinds, *[0] * k, name, *[name + 1] * (len(who) - 1)]
+            edits.append((m.start(), m.end(), new, kinds))
+    for i in np.flatnonzero(tags == address):
+        m = re.match(rf"[{HAN}]{{2}}(?=[省市县])", text[i : i + 3])
+        if m and rng.random() < VARIED_PLACES:
+            stem = pick(STEMS)
+            edits.append((int(i), int(i) + 2, stem, [address] + [address + 1] * (len(stem) - 1)))
+        m = STREET_LABEL.match(text, i)
+        if m and rng.random() < 0.6:
+            lead = re.search(r"[a-z]+ [a-z]+ $", text[max(0, i - 24) : i])
+            begin = int(i) - len(lead[0]) if lead else int(i)
+            before = f"{pick(TO)} " if lead else ""
+            new = f"{rng.integers(1, 400)} {' '.join(pick(ROADS) for _ in range(int(rng.integers(1, 3))))} {pick(STREETS.split('|')[:15])}"
+            edits.append((begin, m.end(), before + new, [0] * len(before) + [address] + [address + 1] * (len(new) - 1)))
+    at, words, marks = 0, [], []
+    for s, e, new, kinds in sorted(edits):
+        if s >= at:
+            words += [text[at:s], new]
+            marks += [tags[at:s], np.array(kinds, np.int64)]
+            at = e
+    return "".join([*words, text[at:]]), np.concatenate([*marks, tags[at:]])
+
+
 def fold(ch: str) -> str:
     """Characters that the network takes as one: digits, and Latin letters by case."""
     if ch.isdigit() and not "一" <= ch <= "鿿":
@@ -197,6 +300,29 @@ class Tagger:
         y = tags.T
         trans = np.where(self.banned, 0, np.exp(np.clip(self.p["t"], -20, 20))).astype(np.float64)
         b = np.exp((e - e.max(2, keepdims=True)).astype(np.float64))
+        de, g = self._marginals(b, trans)
+        known = y >= 0
+        if known.all():
+            np.add.at(g["t"], (y[:-1].ravel(), y[1:].ravel()), -1)
+            de[np.arange(steps)[:, None], np.arange(n)[None, :], y] -= 1
+        else:  # unsure positions may have any tag: the labels' share is that of all ways that agree with the known ones
+            allowed = (np.arange(k) == y[:, :, None]) | ~known[:, :, None]
+            post, own = self._marginals(b * allowed, trans)
+            de -= post
+            g["t"] -= own["t"]
+        de = (de / n).astype(np.float32)
+        g["t"] = (g["t"] / n).astype(np.float32)
+        g["o"] = both.reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, k)
+        g["u"] = de.sum((0, 1))
+        dboth = de @ self.p["o"].T
+        g["e"] = np.zeros_like(self.p["e"])
+        for j, d in enumerate("fb"):
+            self._back(ids, d, dboth[:, :, j * HIDDEN : (j + 1) * HIDDEN], saved[d], g)
+        return g
+
+    def _marginals(self, b: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Shares of every tag at every position, and the summed shares of neighbouring tags, under weights (time, batch, tags)."""
+        steps, n, k = b.shape
         alpha, beta = np.empty((steps, n, k)), np.empty((steps, n, k))
         start = np.ones(k)
         start[2::2] = 0
@@ -215,19 +341,7 @@ class Tagger:
             v = after @ trans.T
             beta[t] = v / v.sum(1, keepdims=True)
         post = alpha * beta
-        post /= post.sum(2, keepdims=True)
-        np.add.at(g["t"], (y[:-1].ravel(), y[1:].ravel()), -1)
-        de = post
-        de[np.arange(steps)[:, None], np.arange(n)[None, :], y] -= 1
-        de = (de / n).astype(np.float32)
-        g["t"] = (g["t"] / n).astype(np.float32)
-        g["o"] = both.reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, k)
-        g["u"] = de.sum((0, 1))
-        dboth = de @ self.p["o"].T
-        g["e"] = np.zeros_like(self.p["e"])
-        for j, d in enumerate("fb"):
-            self._back(ids, d, dboth[:, :, j * HIDDEN : (j + 1) * HIDDEN], saved[d], g)
-        return g
+        return post / post.sum(2, keepdims=True), g
 
     def _back(self, ids: np.ndarray, d: str, dh_out: np.ndarray, saved: list, g: dict[str, np.ndarray]) -> None:
         h, wh = HIDDEN, self.p["h" + d]
@@ -287,15 +401,13 @@ def cut_windows(n: int) -> list[tuple[int, int]]:
 
 
 def train_tagger(texts: list[str]) -> Tagger:
-    """A tagger taught on texts by the context rules."""
-    count: Counter = Counter(fold(c) for t in texts for c in t)
+    """A tagger taught on texts by their labels."""
+    rng = np.random.default_rng(SEED)
+    varied = [vary(t, tags, rng) for t, tags in zip(texts, labels(texts))]
+    count: Counter = Counter(fold(c) for t, _ in varied for c in t)
     net = Tagger([c for c, k in sorted(count.items()) if k >= 3])
     windows = []
-    for t in texts:
-        tags = np.zeros(len(t), np.int64)
-        for s, e, kind in teach(t):
-            k = 1 + 2 * KINDS.index(kind)
-            tags[s], tags[s + 1 : e] = k, k + 1
+    for t, tags in varied:
         ids = net.encode(t)
         for s, e in cut_windows(len(t)):
             part = tags[s:e].copy()

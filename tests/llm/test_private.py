@@ -149,3 +149,31 @@ def test_names_in_letters_of_any_script():
         assert private.shaped(value, 0, len(value), "name") == (0, len(value)), value
     for value in ("J. S.", "Мария", "the house", "王某", "José 12", "A B"):
         assert private.shaped(value, 0, len(value), "name") is None, value
+
+
+def test_labels_do_not_hang_on_the_sentence_frames():
+    frame = ["律师张建国，发表意见。", "后来张建国曾到场。", "经查，刘海波曾借款。", "She moved to 12 Oakwood Avenue last year."] + ["余额不足。"] * 20
+    tags = private.labels(frame)
+    name, address = 1 + 2 * private.KINDS.index("name"), 1 + 2 * private.KINDS.index("address")
+    assert list(tags[0][2:5]) == list(tags[1][2:5]) == [name, name + 1, name + 1]  # shown once, known elsewhere
+    assert set(tags[2][3:6]) == {-1}  # rare and unsure: teaches nothing
+    assert not tags[4].any()  # a frequent word
+    at = frame[3].index("12")
+    assert tags[3][at] == address and set(tags[3][at + 1 : at + len("12 Oakwood Avenue")]) == {address + 1}
+
+
+def test_varied_texts_keep_their_labels():
+    rng = np.random.default_rng(0)
+    text = "被告人王某甲伙同李某来到桂坞市新城区安宁路5号。" * 20
+    varied, tags = private.vary(text, private.labels([text])[0], rng)
+    assert len(varied) == len(tags) and varied != text
+    name = 1 + 2 * private.KINDS.index("name")
+    starts = np.flatnonzero(tags == name)
+    assert len(starts) and all(varied[i] in private.SURNAMES or varied[i : i + 2] in private.COMPOUND for i in starts)
+
+
+def test_unsure_positions_teach_nothing():
+    net = private.Tagger(list("abc"))
+    ids = np.random.default_rng(0).integers(1, 5, (2, 6)).astype(np.int32)
+    g = net._gradients(ids, np.full((2, 6), -1))
+    assert all(np.abs(v).max() < 1e-5 for v in g.values())
