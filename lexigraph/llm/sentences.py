@@ -27,12 +27,18 @@ CLOSERS = "”’」』»›》〉】）)］]〕\""
 TITLES = {"mr", "mrs", "ms", "dr", "prof", "hon", "st", "sr", "sra", "srta", "srs", "dra", "dña", "d", "exmo", "гр", "г-н", "г-жа", "проф", "ông", "bà", "ts", "ths", "gs"}
 BEFORE_NUMBER = {"no", "nos", "art", "arts", "sec", "secs", "ch", "fig", "vol", "p", "pp", "para", "núm", "num", "pág", "cap", "inc", "ст", "п", "пп", "ч", "гл", "стр", "approx", "ca", "c", "cf", "nr", "nº"}
 
+#: Parts that the documents that ask for one word are spread over.
+SALT = 16
+
 CASED = r"A-Za-zÀ-ɏḀ-ỿЀ-ԯͰ-Ͽ"
 WORD = re.compile(rf"[{CASED}][{CASED}̀-ͯ'’-]*(?:\.[{CASED}]+)*")
-DOTTED = re.compile(rf"({WORD.pattern})\.(?:,|;|\s+(?:[a-zß-öø-ÿа-џ]|\d))")
+DOTTED = re.compile(rf"({WORD.pattern})\.(?:,|;|\s+[a-zß-öø-ÿа-џ])")
+NUMBERED = re.compile(rf"({WORD.pattern})\.\s+\d")
+#: What stands after the period in the place of a number: 12, A-12, B3.
+CODE = re.compile(r"[A-Z]{0,3}-?\d")
 STOPPED = re.compile(rf"({WORD.pattern})\.(?=[\s,;]|$)")
 STARTED = re.compile(rf"(?:^|[!?。！？…]|\n)[\s¿¡«“\"]*({WORD.pattern})")
-INSIDE = re.compile(rf"[a-zß-ɏа-џḀ-ỿ] ({WORD.pattern})")
+INSIDE = re.compile(rf"[a-zß-ɏа-џḀ-ỿ] ({WORD.pattern})(\.?)")
 THAI = re.compile(r"[฀-๿]")
 AFTER_NUMBER = re.compile(r"[\d.,:/–-]+\s*")
 NUMBERING = re.compile(r"(?:[（(]\s*(?:\d{1,3}|[一二三四五六七八九十百]{1,4}|[a-zA-Z])\s*[)）]|[①-⓿❶-➓]|\d{1,3}[.．、)）]|[一二三四五六七八九十百]{1,4}[、.．])\s*")
@@ -40,11 +46,13 @@ MARK = re.compile(rf"[{re.escape(STOPS)}{re.escape(''.join(PAIRS))}\"\n\r]|(?<=[
 
 
 def evidence(text: str) -> Counter:
-    """Unambiguous occurrences in a text: (a)bbreviation before a small letter, number or comma, (t)imes a word stands
-    before a period, (s)tart of a sentence, na(m)e inside one."""
+    """Unambiguous occurrences in a text: (a)bbreviation before a small letter or comma, (n) before a number, (t)imes a word stands
+    before a period, (s)tart of a sentence, na(m)e inside one, (l) in small letters without a period, (o) the same with one."""
     out: Counter = Counter()
     for m in DOTTED.finditer(text):
         out["a", m[1].lower()] += 1
+    for m in NUMBERED.finditer(text):
+        out["n", m[1].lower()] += 1
     for m in STOPPED.finditer(text):
         out["t", m[1].lower()] += 1
     for m in STARTED.finditer(text):
@@ -54,7 +62,7 @@ def evidence(text: str) -> Counter:
         if m[1][0].isupper():
             out["m", m[1].lower()] += 1
         else:
-            out["l", m[1].lower()] += 1
+            out["o" if m[2] else "l", m[1].lower()] += 1
     return out
 
 
@@ -69,16 +77,22 @@ class Judge:
     def __init__(self, doc: Counter, corpus: dict[tuple[str, str], int]):
         self.doc, self.corpus = doc, corpus
 
-    def abbreviation(self, word: str) -> bool:
+    def abbreviation(self, word: str, number: bool = False) -> bool:
+        """Whether a word before a period, and perhaps a number after it, is an abbreviation: the document, the corpus, then lists and form.
+
+        Words that are abbreviations before a number only may be ordinary words elsewhere, which then says nothing of them.
+        """
         w = word.lower()
-        if len(w) == 1 or w in TITLES or w in BEFORE_NUMBER:
-            return True
         if "." in w:  # p.m., U.S.; longer parts are those of an address
             return max(map(len, w.split("."))) <= 2
-        if self.doc["a", w] or self.doc["l", w]:
-            return self.doc["a", w] > self.doc["l", w]
-        a, t = self.corpus.get(("a", w), 0), self.corpus.get(("t", w), 0)
-        return a >= 2 and 2 * a >= t and len(w) <= 6
+        listed = number and w in BEFORE_NUMBER
+        a, l = self.doc["a", w] + number * self.doc["n", w], 0 if listed else self.doc["l", w] + number * self.doc["o", w]  # noqa: E741
+        if a or l:
+            return a > l
+        a, t = self.corpus.get(("a", w), 0) + number * self.corpus.get(("n", w), 0), self.corpus.get(("t", w), 0)
+        if a >= 2:
+            return 2 * a >= t
+        return listed or w in TITLES or len(w) == 1
 
     def opens(self, word: str) -> bool:
         """Whether a capital word after an abbreviation opens a sentence: seen at starts or in small letters, less often as a name."""
@@ -94,24 +108,23 @@ def pairs(text: str) -> dict[int, int]:
     """Opening mark to its closing mark; marks without a partner are left out."""
     out: dict[int, int] = {}
     open_at: list[int] = []
-    closing = set(PAIRS.values())
-    for m in re.finditer(rf"[{re.escape(''.join(PAIRS) + ''.join(closing))}\"]", text):
+    depth: dict[str, list[int]] = {ch: [] for ch in [*PAIRS, '"']}  # of each mark, where it stands in open_at
+    opener = {c: o for o, c in PAIRS.items()} | {'"': '"'}
+
+    def close(mark: str, i: int) -> None:
+        k = depth[mark][-1]
+        out[open_at[k]] = i
+        for at in open_at[k:]:
+            depth[text[at]].pop()
+        del open_at[k:]
+
+    for m in re.finditer(rf"[{re.escape(''.join(PAIRS) + ''.join(PAIRS.values()))}\"]", text):
         i, ch = m.start(), m[0]
-        if ch == '"':
-            held = [k for k in open_at if text[k] == '"']
-            if held:
-                out[held[-1]] = i
-                del open_at[open_at.index(held[-1]) :]
-            else:
-                open_at.append(i)
-        elif ch in closing and any(PAIRS.get(text[k]) == ch for k in open_at):
-            k = next(k for k in reversed(open_at) if PAIRS.get(text[k]) == ch)
-            out[k] = i
-            del open_at[open_at.index(k) :]
-        elif ch in PAIRS:
+        if ch in opener and depth[opener[ch]]:
+            close(opener[ch], i)
+        elif ch in depth:
+            depth[ch].append(len(open_at))
             open_at.append(i)
-            if len(open_at) > 64:  # marks that were never closed
-                del open_at[0]
     return out
 
 
@@ -267,17 +280,20 @@ def _period_ends(text: str, i: int, judge: Judge) -> bool:
         m = NUMBERING.match(text, k)
         if m and cjk(text[m.end() : m.end() + 1] or " "):
             return True
-        if "年" in text[k : k + 6]:
+        m = AFTER_NUMBER.match(text, k)
+        if cjk(text[m.end() : m.end() + 1] or " "):  # the number belongs to a sentence of another script
             return True
-        return not judge.abbreviation(word) or "." in word and word.lower() not in ("e.g", "i.e")
+        return not judge.abbreviation(word, True) or "." in word and word.lower() not in ("e.g", "i.e")
     if not after.isupper() and not after in "«“\"¿¡(":
         return True
     w = word.lower()
+    m = WORD.match(text, k + (0 if after.isupper() else 1))
+    # a reference stands in the place of a number: cf. Sec. 75
+    refers = m and text[m.end() : m.end() + 1] == "." and m[0].lower() in BEFORE_NUMBER
+    if not judge.abbreviation(word, bool(refers or CODE.match(text, k))):
+        return True
     if w in TITLES and after.isupper():
         return False
-    if not judge.abbreviation(word):
-        return True
-    m = WORD.match(text, k + (0 if after.isupper() else 1))
     if w.endswith(".m"):
         return True
     return bool(m) and judge.opens(m[0])
@@ -286,7 +302,7 @@ def _period_ends(text: str, i: int, judge: Judge) -> bool:
 def _word_before(text: str, i: int) -> str:
     """The cased word that ends at i, inner periods included; empty for numbers and other scripts."""
     j = i
-    while j > 0 and i - j < 32 and (text[j - 1].isalpha() and not cjk(text[j - 1]) or text[j - 1] in ".-'’́"):
+    while j > 0 and (text[j - 1].isalpha() and not cjk(text[j - 1]) or text[j - 1] in ".-'’́"):
         j -= 1
     word = text[j:i].strip(".-'’")
     # what ends a longer token, an address say, is no word of its own
@@ -371,5 +387,8 @@ def sentence_spans(df: DataFrame, row_id: str, text: str) -> DataFrame:
     one = df.where(F.col(row_id).isNotNull() & (F.length(text) > 0)).groupBy(F.col(row_id).cast("long").alias("id")).agg(F.min(text).alias("text"))
     counts = one.mapInArrow(_evidence_rows, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
     asked = one.mapInArrow(_needed_rows, "id long, word string")
-    known = asked.join(counts, "word").groupBy("id").agg(F.collect_list(F.struct("kind", "word", "n")).alias("known"))
+    # a frequent word is asked for by many documents: their rows are spread, the counts are there once for each part
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    known = asked.join(counts, ["word", "salt"]).groupBy("id").agg(F.collect_list(F.struct("kind", "word", "n")).alias("known"))
     return one.join(known, "id", "left").mapInArrow(_span_rows, "id long, begin_at long, end_at long").withColumnRenamed("id", row_id)

@@ -49,6 +49,40 @@ def test_document_decides_first():
     assert split(text)[0] == "He met Prov. Adams there."
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["He said no.", "Then we left.", "He said no.", "But we stayed."],
+        ["See No. 12, there is no reason.", "Mr. Brown left."],
+        ["It says so, cf. Sec. 75 and No. A-12.", "It rained."],
+        ["The bill came at noon.", "98765的机主是谢某。"],
+    ],
+)
+def test_lists_come_last(parts):
+    assert split(" ".join(parts)) == parts
+
+
+def test_document_goes_before_lists():
+    # "art" is an ordinary word of this document, so it ends its sentence, though a list has it
+    assert split("She loves art and music. He loves art. Then they met.") == ["She loves art and music.", "He loves art.", "Then they met."]
+    # a long abbreviation, learnt from the corpus
+    corpus = Counter({("a", "abteilung"): 9, ("t", "abteilung"): 10, ("m", "adams"): 3})
+    assert split("He met Abteilung. Adams there.", corpus) == ["He met Abteilung. Adams there."]
+
+
+def test_many_open_marks_and_long_words():
+    text = "“" + "（" * 100 + "甲。乙" + "）" * 100 + "。”他说。完。"
+    assert split(text) == [text[:-2], "完。"]
+    long = "x" * 40
+    assert split(f"Der {long}. Das ist so, der {long}. a, {long}. b.")[0] == f"Der {long}. Das ist so, der {long}. a, {long}. b."
+
+
+def test_a_word_that_all_documents_ask_for(spark):
+    df = spark.createDataFrame([(i, f"He met Prov. Adams at {i} there.") for i in range(200)] + [(900, "The prov. court sat with Adams."), (901, "The prov. law of Adams holds."), *[(1000 + i, f"It was said that {w} Adams, prov., agreed.") for i, w in enumerate(["poor", "old", "young"] * 70)]], "case_id long, fact string")
+    got = [tuple(r) for r in sentences.sentence_spans(df, "case_id", "fact").where("case_id < 200").collect()]
+    assert len(got) == 200 and {b for _, b, _ in got} == {0}
+
+
 def test_odd_texts():
     for text in ["", " ", "\n\n", "。", "“", "((((", '"' * 9, "a" * 3000, "。" * 500, "“" * 300 + "a。b"]:
         found = sentences.spans(text, sentences.Judge(sentences.evidence(text), {}))
