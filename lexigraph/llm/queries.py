@@ -20,8 +20,9 @@ def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Every word of every charge with its divergence-from-randomness score."""
-    return terms.distinctive_terms(table(spark, sf, "lac_cut"), table(spark, sf, "train"), "case_id", "pos", "word", "accusation")
+    """Every word of every charge with its divergence-from-randomness score, to six digits."""
+    scored = terms.distinctive_terms(table(spark, sf, "lac_cut"), table(spark, sf, "train"), "case_id", "pos", "word", "accusation")
+    return scored.withColumn("score", F.round("score", 6))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,6 +129,7 @@ P9 = f"""WITH d AS (SELECT doc_id, {LETTERS} AS t FROM documents WHERE text IS N
 def oracle_sql() -> dict:
     """SQL of the queries above that SQL can express."""
     return {
+        "p2_scores": P2 + " SELECT accusation, word, tf, df, df_out, n_in, n_out, round((log2(1 + lam) + tfn * log2((1 + lam) / lam)) / (tfn + 1), 6) AS score FROM r",
         "p2_found": P2 + " SELECT accusation, word FROM r WHERE n_in >= 10 AND df * 5 >= n_in AND df_out * 50 <= n_out",
         "p3_found": P3,
         "p9_found": P9,

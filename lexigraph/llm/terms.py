@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigraph.session import broadcast_if_small, materialize, spread
+from lexigraph.session import BROADCAST_LIMIT, broadcast_if_small, materialize, spread
 
-#: Separates word and type inside one shuffled string; a control character that no segmenter yields.
-SEP = "\x1f"
+#: Parts that one record's rows are spread over when they meet the record's groups.
+SALT = 16
 #: Identifiers per count array.
 BLOCK = 4096
 
@@ -71,11 +71,11 @@ def _count_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(df: DataFrame, record: str, pos: str, *terms: str) -> DataFrame:
-    """Rows with a usable term, one shuffled string per term, spread on (record, term)."""
+    """Rows with a usable term, one shuffled string per term: parts are joined behind the length of the first, so any text comes apart again."""
     kept = df.where(F.col(record).isNotNull())
     for t in terms:
         kept = kept.where(F.col(t).isNotNull() & (F.col(t) != ""))
-    term = F.col(terms[0]) if len(terms) == 1 else F.concat_ws(SEP, *[F.col(t) for t in terms])
+    term = F.col(terms[0]) if len(terms) == 1 else F.concat(F.length(terms[0]).cast("string"), F.lit(":"), *[F.col(t) for t in terms])
     return kept.select(F.col(record).cast("long").alias("record"), F.coalesce(F.col(pos).cast("int"), F.lit(-1)).alias("pos"), term.alias("term"))
 
 
@@ -137,12 +137,13 @@ def term_counts(df: DataFrame, record: str, pos: str, word: str, kind: str, rare
     block = (F.col("id") / BLOCK).cast("long")
     sums = encoded.repartition(spread(df), block).mapInArrow(_sum_blocks, "id long, n_occurrences long, n_records long")
     n_all = df.select(F.count_distinct(F.col(record)).alias("n_all"))  # one row
-    parts = F.split("term", SEP)
+    digits = F.substring_index("term", ":", 1)
+    begin, length = F.length(digits) + 2, digits.cast("int")
     mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > common_above * F.col("n_all"), "common")
     return (
         sums.join(words, "id")
         .crossJoin(F.broadcast(n_all))
-        .select(parts[0].alias(word), parts[1].alias(kind), "n_occurrences", "n_records", "n_all", mark.alias("mark"))
+        .select(F.substr("term", begin, length).alias(word), F.substr("term", begin + length).alias(kind), "n_occurrences", "n_records", "n_all", mark.alias("mark"))
     )
 
 
@@ -168,7 +169,7 @@ def _class_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def distinctive_terms(df: DataFrame, cases: DataFrame, record: str, pos: str, word: str, group: str, c: float = 1.0) -> DataFrame:
+def distinctive_terms(df: DataFrame, cases: DataFrame, record: str, pos: str, word: str, group: str, c: float = 1.0, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Score the terms of every group of records by divergence from randomness (geometric model, Laplace, H2).
 
     cases maps records to groups (repeated and null rows are ignored; a record of two groups counts in both). With F
@@ -181,10 +182,14 @@ def distinctive_terms(df: DataFrame, cases: DataFrame, record: str, pos: str, wo
     """
     mapped = cases.where(F.col(group).isNotNull() & F.col(record).isNotNull()).select(F.col(record).cast("long").alias("record"), F.col(group).alias("grp")).distinct()
     mapped = materialize(mapped)
-    side = broadcast_if_small(mapped, 48)
-    spreaded = _rows(df, record, pos, word).repartition(spread(df), "record", "term")
-    joined = spreaded.join(side, "record").select("grp", "record", "pos", "term")
-    partial = materialize(joined.mapInArrow(_class_block, "grp string, term string, tf long, df long"))
+    rows, side = _rows(df, record, pos, word), broadcast_if_small(mapped, 48, broadcast_limit)
+    if side is mapped:  # too large: rows meet the groups by (record, salt of the term) and are spread on (record, term) after that
+        parts = mapped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALT)).cast("int")).hint("merge").join(parts, ["record", "salt"])
+        joined = met.repartition(spread(df), "record", "term")
+    else:
+        joined = rows.repartition(spread(df), "record", "term").join(side, "record")
+    partial = materialize(joined.select("grp", "record", "pos", "term").mapInArrow(_class_block, "grp string, term string, tf long, df long"))
     stats = materialize(partial.groupBy("grp", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")))
     total = stats.groupBy("term").agg(F.sum("tf").alias("all_tf"), F.sum("df").alias("all_df"))
     length = stats.groupBy("grp").agg(F.sum("tf").alias("length"))

@@ -1,6 +1,8 @@
 import math
 from collections import defaultdict
 
+import pytest
+
 from lexigraph.llm import terms
 
 SCHEMA = "case_id long, pos int, word string, type string, term string, record string"
@@ -12,6 +14,7 @@ def rows():
         words = ["，", "被告人", f"w{c % 7}", "，", f"u{c}", "", None]
         out += [(c, i, w, "n" if i % 2 else "w", "clash", "clash") for i, w in enumerate(words)]
     out += out[:40]  # delivered again
+    out += [(7, 60, "a\x1fb:3", "n:\x1f", "", ""), (7, 61, "3:", "1:x", "", ""), (7, 62, "12:\n", "：", "", "")]
     out += [(None, 1, "x", "n", "", ""), (3, None, "，", "w", "", ""), (99, 0, "", "n", "", ""), (3, 50, "长" * 5000, None, "", "")]
     return out
 
@@ -43,7 +46,8 @@ def test_nothing_gives_nothing(spark):
     assert terms.distinctive_terms(empty, cases, "case_id", "pos", "word", "accusation").collect() == []
 
 
-def test_scores_equal_the_formula(spark):
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_scores_equal_the_formula(spark, limit):
     cases = [(c, "A" if c < 10 else "B" if c < 25 else None) for c in range(30)] + [(1, "A"), (500, "C"), (None, "A")]
     tf, df, n_in = defaultdict(set), defaultdict(set), defaultdict(set)
     cls = {c: a for c, a in cases if c is not None and a}
@@ -59,7 +63,7 @@ def test_scores_equal_the_formula(spark):
         length[a] += len(v)
         total[w] += len(v)
     mean = sum(length.values()) / len(length)
-    got = terms.distinctive_terms(spark.createDataFrame(rows(), SCHEMA), spark.createDataFrame(cases, "case_id long, accusation string"), "case_id", "pos", "word", "accusation").collect()
+    got = terms.distinctive_terms(spark.createDataFrame(rows(), SCHEMA), spark.createDataFrame(cases, "case_id long, accusation string"), "case_id", "pos", "word", "accusation", broadcast_limit=limit).collect()
     assert {(r.accusation, r.word) for r in got} == set(tf)
     for r in got:
         k = r.accusation, r.word
@@ -67,3 +71,13 @@ def test_scores_equal_the_formula(spark):
         assert math.isclose(r.score, (math.log2(1 + lam) + tfn * math.log2((1 + lam) / lam)) / (tfn + 1), rel_tol=1e-9)
         assert (r.tf, r.df, r.n_in) == (len(tf[k]), len(df[k]), len(n_in[r.accusation]))
         assert r.df_out == sum(len(v) for (a, w), v in df.items() if w == r.word and a != r.accusation)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_a_record_that_holds_most_rows(spark, limit):
+    """Repeated deliveries count once, whichever way the records meet their groups."""
+    hot = [(1, i, f"w{i % 50}", "n", "", "") for i in range(1000)]
+    df = spark.createDataFrame([*hot, *hot, (2, 0, "w1", "n", "", "")], SCHEMA)
+    cases = spark.createDataFrame([(1, "A"), (2, "B")], "case_id long, accusation string")
+    got = {(r.accusation, r.word): (r.tf, r.df) for r in terms.distinctive_terms(df, cases, "case_id", "pos", "word", "accusation", broadcast_limit=limit).collect()}
+    assert got == {**{("A", f"w{i}"): (20, 1) for i in range(50)}, ("B", "w1"): (1, 1)}
