@@ -85,3 +85,27 @@ def test_table(spark):
     assert got == {(1000, "zh"), (1000, "en"), (1001, "es"), (1002, "ru"), (1003, "ko")}
     assert all(0 < r.confidence <= 1 for r in found.collect())
     assert languages.language_stretches(df.limit(0), "doc_id", "text", "lang").collect() == []
+
+
+def test_scripts_rule_out_only_what_is_absent(net):
+    found = languages.stretches(["私は学生", "他说：“私は学生”，然后离开了现场。", "長い" + "<" + "a" * 500 + ">" + "民警发现现金3元。"], net)
+    assert found[0][0][2] == "ja"
+    assert found[1][0][2] == "zh"
+    assert [r[2] for r in found[2]] == ["zh"]
+    assert not languages.blanked("x <" + "a" * 500 + ">").strip("x ")
+
+
+def test_script_counts_and_whole():
+    text = "第二句 abc déf ghi абв гд еж 가나다라 かな\U00020001"
+    at = [(0, len(text)), (4, 15), (0, 0)]
+    assert languages.script_counts(text, at).tolist() == [[4, 2, 4, 0, 7, 9], [0, 0, 0, 0, 0, 9], [0] * 6]
+    full = languages.whole([text[s:e] for s, e in at], languages.script_counts(text, at))
+    assert {c for c, ok in zip(languages.LANGUAGES, full[0]) if ok} == {"en", "ja", "ko", "ru", "vi", "es", "pt"}
+    assert {c for c, ok in zip(languages.LANGUAGES, full[1]) if ok} == {"en", "vi", "es", "pt"}
+
+
+def test_a_long_text_teaches_with_any_of_its_parts(spark, monkeypatch):
+    monkeypatch.setattr(languages, "PART", 50)
+    df = spark.createDataFrame([(1, "被告人到案后如实供述。" * 30 + "末尾一段文字" * 4, "zh"), (2, None, "zh"), (3, "", "en")], "doc_id long, text string, lang string")
+    parts = [t for t, _ in languages._labelled(df, "doc_id", "text", "lang")]
+    assert len(parts) == 7 and any("末尾" in t for t in parts)  # a rest of fewer than 20 characters teaches nothing
