@@ -28,6 +28,8 @@ TAGS = 1 + 2 * len(KINDS)  # O, then B and I of every kind
 TEXTS, EPOCHS, BATCH, RATE, SEED = 900, 7, 32, 6e-3, 5
 #: Further texts that teach, out of those with Latin words, which a plain sample of CJK texts hardly holds.
 LATIN_TEXTS = 250
+#: Characters of the parts that texts are cut into to teach.
+PART = 20_000
 #: Characters of a window and of the step to the next; padding is to a multiple of BUCKET.
 WINDOW, STEP, BUCKET = 192, 128, 32
 #: Least number of updates: small samples are gone through more often.
@@ -218,6 +220,7 @@ class Tagger:
         p["u"] = np.zeros(TAGS)
         p["t"] = np.zeros((TAGS, TAGS))
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
+        self.table: np.ndarray | None = None  # number of every code point, made when first asked for
         # tags that cannot follow one another: I after anything but B or I of its kind
         self.banned = np.zeros((TAGS, TAGS), bool)
         for k in range(len(KINDS)):
@@ -226,42 +229,48 @@ class Tagger:
             self.banned[[inside - 1, inside], inside] = False
 
     def encode(self, text: str) -> np.ndarray:
-        get = self.ids.get
-        return np.fromiter((get(fold(c), 1) for c in text), np.int32, len(text))
-
-    def _lstm(self, x: np.ndarray, d: str, keep: bool):
-        """States of one direction over (batch, time) inputs given as gate pre-activations; keep holds what training needs."""
-        n, steps, h = x.shape[0], x.shape[1], HIDDEN
-        wh = self.p["h" + d]
-        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        out = np.empty((steps, n, h), np.float32)
+        if self.table is None:
+            self.table = np.ones(0x110000, np.int32)
+            for c, i in self.ids.items():
+                self.table[ord(c)] = i
+            for k in {*range(128), *(k for k in range(0x110000) if chr(k).isdigit())}:
+                self.table[k] = self.ids.get(fold(chr(k)), 1)
+        return self.table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+
+    def _lstm(self, ids: np.ndarray, keep: bool):
+        """States (time, direction, batch, hidden) of both directions in step, the second one from the end; saved holds what training needs."""
+        p, h = self.p, HIDDEN
+        n, steps = ids.shape
+        x = np.empty((steps, 2, n, 4 * h), np.float32)
+        for j, d in enumerate("fb"):
+            table = p["e"] @ p["x" + d] + p["c" + d]
+            x[:, j] = table[ids.T if d == "f" else ids.T[::-1]]
+        wh = np.stack([p["hf"], p["hb"]])
+        state, cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        out = np.empty((steps, 2, n, h), np.float32)
         saved = []
-        order = range(steps) if d == "f" else range(steps - 1, -1, -1)
         scale = np.r_[np.full(3 * h, 0.5), np.full(h, 1.0)].astype(np.float32)
-        for t in order:
-            a = x[:, t] + state @ wh
+        for t in range(steps):
+            a = x[t]
+            a += state @ wh
             a *= scale
             np.tanh(a, out=a)
-            g = a[:, 3 * h :]
-            s = a[:, : 3 * h] * np.float32(0.5) + np.float32(0.5)
-            before, prior = cell, state
-            cell = s[:, h : 2 * h] * cell + s[:, :h] * g
+            g = a[:, :, 3 * h :]
+            s = a[:, :, : 3 * h] * np.float32(0.5) + np.float32(0.5)
+            before = cell
+            cell = s[:, :, h : 2 * h] * cell + s[:, :, :h] * g
             tc = np.tanh(cell)
-            state = s[:, 2 * h :] * tc
+            state = s[:, :, 2 * h :] * tc
             out[t] = state
             if keep:
-                saved.append((t, s, g, before, tc, prior))
+                saved.append((s, g, before, tc))
         return out, saved
 
     def scores(self, ids: np.ndarray, keep: bool = False):
         """Tag scores (time, batch, tags) of windows."""
-        p, states, saved = self.p, [], {}
-        for d in "fb":
-            table = p["e"] @ p["x" + d] + p["c" + d]
-            out, saved[d] = self._lstm(table[ids], d, keep)
-            states.append(out)
-        both = np.concatenate(states, 2)
-        return both @ p["o"] + p["u"], both, saved
+        out, saved = self._lstm(ids, keep)
+        both = np.concatenate([out[:, 0], out[::-1, 1]], 2)
+        return both @ self.p["o"] + self.p["u"], both, (out, saved)
 
     def train(self, windows: list[tuple[np.ndarray, np.ndarray]], seed: int = SEED) -> Tagger:
         """Adam on the CRF's negative log likelihood; some characters are hidden, so that unknown ones are met too."""
@@ -315,9 +324,7 @@ class Tagger:
         g["o"] = both.reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, k)
         g["u"] = de.sum((0, 1))
         dboth = de @ self.p["o"].T
-        g["e"] = np.zeros_like(self.p["e"])
-        for j, d in enumerate("fb"):
-            self._back(ids, d, dboth[:, :, j * HIDDEN : (j + 1) * HIDDEN], saved[d], g)
+        self._back(ids, np.stack([dboth[:, :, :HIDDEN], dboth[::-1, :, HIDDEN:]], 1), *saved, g)
         return g
 
     def _marginals(self, b: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -343,33 +350,39 @@ class Tagger:
         post = alpha * beta
         return post / post.sum(2, keepdims=True), g
 
-    def _back(self, ids: np.ndarray, d: str, dh_out: np.ndarray, saved: list, g: dict[str, np.ndarray]) -> None:
-        h, wh = HIDDEN, self.p["h" + d]
+    def _back(self, ids: np.ndarray, dh_out: np.ndarray, out: np.ndarray, saved: list, g: dict[str, np.ndarray]) -> None:
+        """Gradients of both directions in step, from those of their states."""
+        h, p, steps = HIDDEN, self.p, len(saved)
+        back = np.stack([p["hf"].T, p["hb"].T])
         n = ids.shape[0]
-        dh, dc = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        da = np.empty((ids.shape[1], n, 4 * h), np.float32)
-        g["h" + d] = np.zeros_like(wh)
-        for t, s, gate, before, tc, prior in reversed(saved):
-            i, f, o = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :]
-            dh = dh + dh_out[t]
-            dc = dc + dh * o * (1 - tc * tc)
+        dh, dc = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        da = np.empty((steps, 2, n, 4 * h), np.float32)
+        for t in range(steps - 1, -1, -1):
+            s, gate, before, tc = saved[t]
+            i, f, o = s[:, :, :h], s[:, :, h : 2 * h], s[:, :, 2 * h :]
+            dh += dh_out[t]
+            dc += dh * o * (1 - tc * tc)
             a = da[t]
-            a[:, :h] = dc * gate * i * (1 - i)
-            a[:, h : 2 * h] = dc * before * f * (1 - f)
-            a[:, 2 * h : 3 * h] = dh * tc * o * (1 - o)
-            a[:, 3 * h :] = dc * i * (1 - gate * gate)
-            g["h" + d] += prior.T @ a
-            dh = a @ wh.T
+            a[:, :, :h] = dc * gate
+            a[:, :, h : 2 * h] = dc * before
+            a[:, :, 2 * h : 3 * h] = dh * tc
+            a[:, :, : 3 * h] *= s * (1 - s)
+            a[:, :, 3 * h :] = dc * i * (1 - gate * gate)
+            dh = a @ back
             dc = dc * f
-        flat = da.transpose(1, 0, 2).reshape(-1, 4 * h)
-        table = np.zeros((len(self.p["e"]), 4 * h), np.float32)
-        order = np.argsort(ids.ravel(), kind="stable")
-        own = ids.ravel()[order]
-        cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        table[own[cut]] = np.add.reduceat(flat[order], cut, 0)
-        g["c" + d] = table.sum(0)
-        g["x" + d] = self.p["e"].T @ table
-        g["e"] += table @ self.p["x" + d].T
+        g["e"] = np.zeros_like(p["e"])
+        for j, d in enumerate("fb"):
+            own = da[:, j] if d == "f" else da[::-1, j]
+            g["h" + d] = out[:-1, j].reshape(-1, h).T @ da[1:, j].reshape(-1, 4 * h)
+            flat, rows = own.reshape(-1, 4 * h), ids.T.ravel()
+            order = np.argsort(rows, kind="stable")
+            rows = rows[order]
+            cut = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            table = np.zeros((len(p["e"]), 4 * h), np.float32)
+            table[rows[cut]] = np.add.reduceat(flat[order], cut, 0)
+            g["c" + d] = table.sum(0)
+            g["x" + d] = p["e"].T @ table
+            g["e"] += table @ p["x" + d].T
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tag paths of windows and the margin of each position's tag over O."""
@@ -415,7 +428,17 @@ def train_tagger(texts: list[str]) -> Tagger:
             if part[0] and part[0] % 2 == 0:
                 part[0] -= 1
             windows.append((ids[s:e], part))
-    return net.train(windows) if windows else net
+    net = net.train(windows) if windows else net
+    net.table = None  # each worker makes its own
+    return net
+
+
+#: Shapes that a span is taken to, and the characters that values of the kind, and what must not stand beside them, are made of.
+SHAPES = {
+    "email": (EMAIL, lambda c: c.isascii() and (c.isalnum() or c in "._%+-@[]() ") or c == "＠"),
+    "phone": (PHONE, lambda c: c in "+-－ ()（）*" or c.isdigit() or c.isascii() and c.isalpha()),
+    "id_number": (ID, lambda c: c in " *ＸX" or c.isdigit() or c.isascii() and c.isalpha()),
+}
 
 
 def full_name(value: str) -> bool:
@@ -435,11 +458,16 @@ def full_name(value: str) -> bool:
 
 def shaped(text: str, s: int, e: int, kind: str) -> tuple[int, int] | None:
     """The span trimmed to the shape of its kind, or nothing if it has none."""
-    if kind in ("email", "phone", "id_number"):
-        shape = {"email": EMAIL, "phone": PHONE, "id_number": ID}[kind]
-        lo = max(0, s - 64)
-        for m in shape.finditer(text, lo, min(len(text), e + 64)):
-            if m.start() < e and m.end() > s:
+    if kind in SHAPES:
+        shape, inside = SHAPES[kind]
+        lo, hi = s, e
+        while lo > 0 and inside(text[lo - 1]):
+            lo -= 1
+        while hi < len(text) and inside(text[hi]):
+            hi += 1
+        # the network must have seen a quarter of the value at least; it is then taken to its ends, however long it is
+        for m in shape.finditer(text, lo, hi):
+            if 4 * (min(m.end(), e) - max(m.start(), s)) >= m.end() - m.start():
                 return m.start(), m.end()
         return None
     while s < e and (text[s].isspace() or text[s] in "，,：:"):
@@ -505,17 +533,19 @@ def _one_text(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def _taught(df: DataFrame, row_id: str, text: str) -> Tagger:
-    """A tagger taught on at most TEXTS + LATIN_TEXTS distinct cases, those with the least hashes; longer texts teach with their first 20,000 characters."""
-    slim = df.where(F.col(row_id).isNotNull() & (F.length(text) > 0)).select(F.col(row_id).cast("long").alias("id"), F.substring(text, 1, 20_000).alias("text"))
+    """A tagger taught on at most TEXTS + LATIN_TEXTS distinct parts of cases, those with the least hashes; a text is cut into parts of PART characters."""
+    slim = df.where(F.col(row_id).isNotNull() & (F.length(text) > 0)).select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
+    parts = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PART).cast("int"))).alias("n")
+    slim = slim.select("id", "text", parts).select("id", "n", F.substr("text", F.col("n") * PART + 1, F.lit(PART)).alias("text"))
     slim = slim.withColumn("latin", F.col("text").rlike("[a-z]{2,} [a-z]{2,} [a-z]{2,}"))
-    # the ids are chosen without their texts, so that repeated rows don't use up the bound and only chosen texts move
-    keys = slim.select("id", "latin", F.xxhash64("id").alias("h")).distinct()
-    picked = [(r["latin"], r["h"], r["id"]) for latin, n in ((False, TEXTS), (True, LATIN_TEXTS)) for r in keys.where(F.col("latin") == latin).orderBy("h", "id").limit(n).collect()]
+    # the parts are chosen without their texts, so that repeated rows don't use up the bound and only chosen texts move
+    keys = slim.select("id", "n", "latin", F.when(F.col("n") == 0, F.xxhash64("id")).otherwise(F.xxhash64("id", "n")).alias("h")).distinct()
+    picked = [tuple(r) for latin, n in ((False, TEXTS), (True, LATIN_TEXTS)) for r in keys.where(F.col("latin") == latin).select("latin", "h", "id", "n").orderBy("h", "id", "n").limit(n).collect()]
     if not picked:
         return train_tagger([])
-    chosen = df.sparkSession.createDataFrame([(i, latin) for latin, _, i in picked], "id long, latin boolean")
-    texts = {r["id"]: r["text"] for r in slim.join(F.broadcast(chosen), ["id", "latin"], "left_semi").groupBy("id").agg(F.min("text").alias("text")).collect()}
-    return train_tagger([texts[i] for i in dict.fromkeys(i for _, _, i in picked)])
+    chosen = df.sparkSession.createDataFrame([(i, n, latin) for latin, _, i, n in picked], "id long, n int, latin boolean")
+    texts = {(r["id"], r["n"]): r["text"] for r in slim.join(F.broadcast(chosen), ["id", "n", "latin"], "left_semi").groupBy("id", "n").agg(F.min("text").alias("text")).collect()}
+    return train_tagger([texts[k] for k in dict.fromkeys((i, n) for _, _, i, n in picked)])
 
 
 def private_spans(df: DataFrame, row_id: str, text: str) -> DataFrame:

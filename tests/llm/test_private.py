@@ -177,3 +177,24 @@ def test_unsure_positions_teach_nothing():
     ids = np.random.default_rng(0).integers(1, 5, (2, 6)).astype(np.int32)
     g = net._gradients(ids, np.full((2, 6), -1))
     assert all(np.abs(v).max() < 1e-5 for v in g.values())
+
+
+def test_a_span_is_taken_to_the_ends_of_its_value_if_it_holds_enough_of_it():
+    mail = "a" * 150 + "." + "b" * 80 + "@" + "c" * 60 + ".example.com"
+    text = "寄往" + mail + "。"
+    at, end = 2, 2 + len(mail)
+    assert private.shaped(text, at + 100, end - 100, "email") == (at, end)
+    assert private.shaped(text, at + 140, at + 141, "email") is None
+    text = "电话 +86 139 1234 5678，证件 110101 19900101 123X。"
+    assert private.shaped(text, 5, 14, "phone") == (3, 20)
+    assert private.shaped(text, 6, 7, "phone") is None
+    assert text[slice(*private.shaped(text, 26, 40, "id_number"))] == "110101 19900101 123X"
+
+
+def test_a_long_text_teaches_with_any_of_its_parts(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(private, "PART", 100)
+    monkeypatch.setattr(private, "train_tagger", lambda texts: taught.extend(texts))
+    df = spark.createDataFrame([(1, "被告人周某到案。" * 40 + "末尾一段"), (1, "被告人周某到案。" * 40 + "末尾一段"), (2, None), (3, ""), (4, "短文")], "case_id long, fact string")
+    private._taught(df, "case_id", "fact")
+    assert sorted(map(len, taught)) == [2, 24, 100, 100, 100] and any("末尾" in t for t in taught)
