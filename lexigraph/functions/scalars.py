@@ -20,7 +20,7 @@ TAG_NUMBER = {
 }
 OTHER_TAG = 99
 LABEL = {"PER": "Person", "ORG": "Organization", "TIME": "Time", "n": "Entity", "nr": "Entity", "LOC": "Location", "nz": "Entity", "nw": "Entity", "v": "Action"}
-#: Punctuation that a property key loses.
+# Fixed value: punctuation that a property key loses.
 KEY_NOISE = "、，。?：/\\；”“{}[](),.?;:（）【】！@#￥%……&*!@#$%^&* ​"
 #: Chinese digits and what they fold to; ten folds to 1.
 DIGITS, FOLDED = "零一二三四五六七八九十", "01234567891"

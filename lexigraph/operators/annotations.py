@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 from lexigraph.plans.patterns import CHARACTERS, IMPLIED
 
-#: Answers that confirm a suggestion; so does no answer.
-YES = ("Y", "E", "S", "YE", "ES", "YES", "Yes", "yes", "y", "e", "s", "ye", "es", "Ye")
+# Fixed value: every part of it confirms a suggestion, the empty answer too.
+YES = "YESYesyes"
 
 
 def tag_records(tokens: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def confirm(candidates: DataFrame, answers: DataFrame, keys: list[str]) -> DataF
     """
     cols = [*keys, "a_idx", "r_idx", "b_idx"]
     asked = answers.where(~F.col("entered")).groupBy(*cols).agg(F.max("answer").alias("answer"))
-    kept = candidates.select(*cols).join(asked, cols, "left").where(F.col("answer").isNull() | (F.col("answer") == "") | F.col("answer").isin(*YES))
+    kept = candidates.select(*cols).join(asked, cols, "left").where(F.col("answer").isNull() | F.contains(F.lit(YES), F.col("answer")))
     return kept.select(*cols).unionByName(answers.where("entered").select(*cols)).distinct()
 
 

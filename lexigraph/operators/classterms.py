@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tags whose rows are left out: every tag that is a part of this string.
+from lexigraph.session import broadcast_if_small, materialize
+
+# Fixed value: tags whose rows are left out, every tag that is a part of this string.
 LEFT_OUT = "mcfqurxcpwTIMEPERLOCORG"
 
 
@@ -24,7 +26,8 @@ def class_frequencies(tokens: DataFrame, classes: DataFrame) -> DataFrame:
 
 def tfidf(freq: DataFrame) -> DataFrame:
     """tf * ln(N / df) per (class, term): tf is the term's share of its class, df the classes with it, N all classes."""
-    total = freq.groupBy("accusation").agg(F.sum("cnt").alias("total"))
+    # one row per class: beyond a counted size the heavy classes are left to the join's skew handling
+    total = broadcast_if_small(materialize(freq.groupBy("accusation").agg(F.sum("cnt").alias("total"))), 64)
     df = freq.groupBy("term").agg(F.count("*").alias("df"))
     n = total.select(F.count("*").alias("n_classes"))
     tf = F.col("cnt") / F.col("total")

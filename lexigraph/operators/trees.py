@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexigraph.session import materialize
+from lexigraph.plans.patterns import IMPLIED
+from lexigraph.session import broadcast_if_small, materialize
 
 
 def edges(tokens: DataFrame, keys: list[str], by_text: bool = False) -> DataFrame:
@@ -64,22 +69,112 @@ def ancestors(tokens: DataFrame, keys: list[str], depth: int | None = None, seed
     return out
 
 
-def induce(pairs: DataFrame, up: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """Canonical pattern from left to right through their lowest common ancestor.
+def _way(parent: dict[int, tuple[int, str]], left: int, right: int) -> tuple[list[str], list[str]] | None:
+    """Labels up from left to the lowest common ancestor and up from right to it; null if there is none. A ring of heads is walked once."""
 
-    pairs has keys, <left>_idx, <right>_idx; up is ancestors(). The walk goes up from left with `-[:dep]->` and down to
-    right with `<-[:dep]-`; nodes in between carry no role.
+    def chain(at: int) -> dict[int, int]:
+        seen: dict[int, int] = {}
+        while at in parent and at not in seen:
+            seen[at] = len(seen)
+            at = parent[at][0]
+        return seen
+
+    up, down = chain(left), chain(right)
+    met = [(up[k] + down[k], up[k], k) for k in up.keys() & down.keys()]
+    if not met:
+        return None
+    top = min(met)[2]
+    return [[parent[k][1] for k in ids if ids[k] < ids[top]] for ids in (up, down)]
+
+
+def _text(left: str, up: list[str], down: list[str], right: str) -> str:
+    """The walk goes up from left with `-[:dep]->` and down to right with `<-[:dep]-`; nodes in between carry no role."""
+    steps = [f"-[:{d}]->" for d in up] + [f"<-[:{d}]-" for d in reversed(down)]
+    return f"({left}){'()'.join(steps)}({right})"
+
+
+def _sentences(tokens: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Sentences that are asked about: keys, t (tokens), p (what is asked); both lists are bounded by the sentence."""
+    trees = tokens.groupBy(*keys).agg(F.collect_list(F.struct("idx", "head", "dep")).alias("t"))
+    rest = [c for c in asked.columns if c not in keys]
+    return asked.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("p")).join(trees, keys)
+
+
+def _answered(df: DataFrame, keys: list[str], answers, schema: str) -> DataFrame:
+    """Each sentence's rows out of answers(tree, asked), in Arrow batches."""
+    types = T._parse_datatype_string(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, made = [], []
+            for k, (tree, asked) in enumerate(zip(b.column("t").to_pylist(), b.column("p").to_pylist())):
+                found = answers({x["idx"]: (x["head"], x["dep"]) for x in tree}, asked)
+                rows += [k] * len(found)
+                made += found
+            cols = list(zip(*made)) if made else [()] * len(types.fields)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keys), *(pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(cols, types.fields))], names=[*keys, *types.names])
+
+    out = T.StructType([*(df.schema[c] for c in keys), *types.fields])
+    return df.select(*keys, "t", "p").mapInArrow(run, out)
+
+
+def lca_paths(tokens: DataFrame, pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """Canonical pattern of every pair (keys, <left>_idx, <right>_idx) through its lowest common ancestor.
+
+    A sentence's tokens (keys, idx, head, dep) and pairs meet once, and the walks are made sentence by sentence, whatever the
+    depth. Pairs of a token with itself, pairs without a common ancestor, and tokens that aren't there give no row.
     """
-    l = up.select(*keys, F.col("idx").alias(f"{left}_idx"), "anc", F.col("steps").alias("l_steps"), F.col("ups").alias("l_ups"))  # noqa: E741
-    r = up.select(*keys, F.col("idx").alias(f"{right}_idx"), "anc", F.col("steps").alias("r_steps"), F.col("ups").alias("r_ups"))
-    met = pairs.join(l, [*keys, f"{left}_idx"]).join(r, [*keys, f"{right}_idx", "anc"])
-    cols = [*keys, *[c for c in pairs.columns if c not in keys]]
-    best = met.groupBy(*cols).agg(F.min_by(F.struct("l_ups", "r_ups"), F.col("l_steps") + F.col("r_steps")).alias("way"))
-    lu, ru = F.col("way.l_ups"), F.col("way.r_ups")
-    ups = F.transform(lu, lambda d: F.concat(F.lit("-[:"), d, F.lit("]->")))
-    downs = F.transform(F.reverse(ru), lambda d: F.concat(F.lit("<-[:"), d, F.lit("]-")))
-    body = F.array_join(F.concat(ups, downs), "()")
-    return best.where(F.size(lu) + F.size(ru) > 0).select(*cols, F.concat(F.lit(f"({left})"), body, F.lit(f"({right})")).alias("pattern"))
+    asked = pairs.select(*keys, F.col(f"{left}_idx").cast("int").alias("l"), F.col(f"{right}_idx").cast("int").alias("r")).distinct()
+
+    def answers(parent: dict, asked: list[dict]) -> list[tuple]:
+        ways = [(x["l"], x["r"], _way(parent, x["l"], x["r"])) for x in asked]
+        return [(i, j, _text(left, *way, right)) for i, j, way in ways if way and any(way)]
+
+    return _answered(_sentences(tokens, asked, keys), keys, answers, f"{left}_idx int, {right}_idx int, pattern string")
+
+
+def induce_relations(tokens: DataFrame, relations: DataFrame, keys: list[str], store: DataFrame | None = None) -> DataFrame:
+    """Pattern of every relation (keys, a_idx, r_idx, b_idx): `a-b ?name` for an implied one (r_idx below 0), else `a-r,r-b`.
+
+    Each path can be written from either end. The store (pattern, frequency) decides: the first writing that it holds is taken, in the
+    order forward, backward (for two paths: both forward, second backward, first backward, both backward), and the first one where
+    it holds none. Relations without a path give no row.
+    """
+    asked = relations.select(*keys, *[F.col(f"{r}_idx").cast("int").alias(f"{r}_idx") for r in "arb"]).distinct()
+    names = {v: k for k, v in IMPLIED.items()}
+
+    def both(parent: dict, i: int, j: int, left: str, right: str) -> list[str]:
+        way = _way(parent, i, j)
+        return [_text(left, *way, right), _text(right, *reversed(way), left)] if way and any(way) else []
+
+    def answers(parent: dict, asked: list[dict]) -> list[tuple]:
+        out = []
+        for x in asked:
+            a, r, b = x["a_idx"], x["r_idx"], x["b_idx"]
+            if r < 0:
+                written = [f"{p} ?{names[r]}" for p in both(parent, a, b, "a", "b")] if r in names else []
+            else:
+                written = [f"{p},{q}" for p in both(parent, a, r, "a", "r") for q in both(parent, r, b, "r", "b")]
+            if written:
+                out.append((a, r, b, written))
+        return out
+
+    made = _answered(_sentences(tokens, asked, keys), keys, answers, "a_idx int, r_idx int, b_idx int, written array<string>")
+    if store is None:
+        return made.select(*keys, "a_idx", "r_idx", "b_idx", F.col("written")[0].alias("pattern"))
+    cols = [*keys, "a_idx", "r_idx", "b_idx"]
+    held = broadcast_if_small(materialize(store.select("pattern").distinct()), 256)
+    each = made.select(*cols, F.col("written")[0].alias("first"), F.posexplode("written").alias("at", "pattern"))
+    known = each.join(held.withColumn("held", F.lit(True)), "pattern", "left")
+    return known.groupBy(*cols).agg(F.coalesce(F.min_by(F.when(F.col("held"), F.col("pattern")), F.when(F.col("held"), F.col("at"))), F.max("first")).alias("pattern"))
+
+
+def restock(store: DataFrame, induced: DataFrame) -> DataFrame:
+    """The pattern store (pattern, frequency) with the induced patterns counted in, the most frequent first."""
+    new = induced.groupBy("pattern").agg(F.count("*").alias("frequency"))
+    both = store.select("pattern", "frequency").unionByName(new).groupBy("pattern").agg(F.sum("frequency").alias("frequency"))
+    return both.orderBy(F.col("frequency").desc(), "pattern")
 
 
 def pattern_frequency(patterns: DataFrame, least: int = 1) -> DataFrame:

@@ -126,9 +126,7 @@ def _person_pairs(tok: DataFrame) -> DataFrame:
 
 def lca_patterns(spark: SparkSession, sf: str) -> DataFrame:
     tok = materialize(tree_tokens(spark, sf).select(*KEYS, "idx", "head", "dep", "type"))
-    pairs = _person_pairs(tok)
-    seeds = pairs.select(*KEYS, F.explode(F.array("a_idx", "b_idx")).alias("idx"))
-    return trees.induce(pairs, trees.ancestors(tok, KEYS, seeds=seeds), KEYS, "a", "b")
+    return trees.lca_paths(tok, _person_pairs(tok), KEYS, "a", "b")
 
 
 def pattern_frequency(spark: SparkSession, sf: str) -> DataFrame:

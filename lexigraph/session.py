@@ -33,11 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a folder of our own where the session names none."""
+    """The folder that all executors see: spark.checkpoint.dir; where neither setting nor context names one, a temporary folder if all runs in one process.
+
+    A cluster without such a folder raises ValueError, since its executors would write to folders of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         ours = spark.sparkContext.getCheckpointDir()
         if not ours:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
             ours = tempfile.mkdtemp(prefix="lexigraph-")
             spark.sparkContext.setCheckpointDir(ours)
             ours = spark.sparkContext.getCheckpointDir()

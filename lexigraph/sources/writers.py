@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.operators import graph
+from lexigraph.session import materialize
 
 
 def json_lines(df: DataFrame, path: str, append: bool = True) -> None:
@@ -23,15 +24,29 @@ def graph_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
 
 
+#: Folders that a growing table is spread over by the hash of its key.
+BUCKETS = 64
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def append_new(df: DataFrame, path: str, key: list[str]) -> None:
-    """Append the rows whose key the table doesn't hold yet."""
+    """Append the rows whose key the table doesn't hold yet; only the folders that the new keys fall into are read."""
     spark = df.sparkSession
-    try:
-        held = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  the table isn't there yet
-        df.dropDuplicates(key).write.parquet(path)
-        return
-    graph.new_rows(held, df, key).write.mode("append").parquet(path)
+    new = materialize(df.dropDuplicates(key).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")))
+    if exists(spark, path):
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        held = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)) if touched else None
+        new = graph.new_rows(held, new, [*key, "bucket"]) if touched else new
+    new.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def text_encoded(df: DataFrame, column: str, path: str, encoding: str) -> None:
+    """One line per value in a given encoding."""
+    df.select(column).write.mode("overwrite").option("encoding", encoding).option("quote", "").option("escape", "").option("sep", "\x01").csv(path)
 
 
 def embeddings(df: DataFrame, path: str) -> None:

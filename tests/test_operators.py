@@ -114,7 +114,8 @@ def test_upserts(spark):
 def test_containing_and_ontology(spark):
     al = spark.createDataFrame([("棠谷", "棠谷县"), ("县", "县")], "pattern string, canonical string")
     n = spark.createDataFrame([("棠谷县法院",), ("谷",), (None,)], "name string")
-    assert [tuple(r) for r in graph.containing(n, al).collect()] == [("棠谷县法院", "棠谷县")]
+    # every alias counts, those of one character too; search.usable_aliases bars unwanted ones before
+    assert sorted(tuple(r) for r in graph.containing(n, al).collect()) == [("棠谷县法院", "县"), ("棠谷县法院", "棠谷县")]
     tr = spark.createDataFrame([(2, "棠谷", "in", "乙"), (1, "棠谷", "in", "甲"), (3, "无", "in", "丙")], "seq int, a string, r string, b string")
     got = {r.name: r.props for r in graph.ontology(tr, al).collect()}
     assert got == {"棠谷县": {"in": "甲;乙"}, "县": {}}

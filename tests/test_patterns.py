@@ -75,7 +75,7 @@ def test_matches_equal_a_naive_walk_on_random_trees(spark):
 def test_induced_pattern_finds_its_pair_again(spark):
     tok = spark.createDataFrame(sentence(), SCHEMA)
     pairs = spark.createDataFrame([(1, 0, 1, 20)], "doc_id int, sent_id int, a_idx int, b_idx int")
-    made = trees.induce(pairs, trees.ancestors(tok, KEYS, 6), KEYS, "a", "b").first().pattern
+    made = trees.lca_paths(tok, pairs, KEYS, "a", "b").first().pattern
     assert made == "(a)-[:appos]->()-[:nsubj]->()<-[:conj]-()<-[:dobj]-(b)"
     got = patterns.match(tok, made + " ?is", KEYS).collect()
     assert [(r.a_idx, r.b_idx) for r in got] == [(1, 20)]
@@ -124,7 +124,7 @@ def test_ancestors_are_followed_to_the_root(spark):
     assert up.where("doc_id = 1 and idx = 35").agg(F.max("steps")).first()[0] == 34
     assert up.where("doc_id = 2 and idx = 1").select("anc").distinct().count() == 3
     pairs = spark.createDataFrame([(1, 0, 35, 36)], "doc_id long, sent_id int, a_idx int, b_idx int")
-    assert trees.induce(pairs, up, KEYS, "a", "b").first().pattern == "(a)" + "()".join(["-[:d]->"] * 34 + ["<-[:e]-"]) + "(b)"
+    assert trees.lca_paths(tok, pairs, KEYS, "a", "b").first().pattern == "(a)" + "()".join(["-[:d]->"] * 34 + ["<-[:e]-"]) + "(b)"
 
 
 def test_lca_of_a_long_sentence(spark, tmp_path):
