@@ -46,6 +46,11 @@ def features(candidates: DataFrame, tokens: DataFrame, keys: list[str]) -> DataF
     )
 
 
+def without_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The three tags and the direction from r to b: the features at places 0, 1, 2 and 6."""
+    return rows.select(*keys, *[FEATURES[i] for i in (0, 1, 2, 6)])
+
+
 def labelled(candidates: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     """label 1 where (a, r, b) is a gold relation; all implied relations count as one."""
     one = lambda: F.when(F.col("r_idx") > 0, F.col("r_idx")).otherwise(-100)

@@ -45,10 +45,6 @@ def rule_hits(text: Column | str, rules: list[tuple[str, str]]) -> Column:
     return F.filter(F.array(*[F.when(t.rlike(p), F.lit(n)) for p, n in rules]), lambda x: x.isNotNull())
 
 
-def at_least(patterns: DataFrame, n: int) -> DataFrame:
-    return patterns.where(F.col("frequency") >= n)
-
-
 def usable_aliases(aliases: DataFrame, barred: list[str]) -> DataFrame:
     """Aliases that are neither null, empty nor barred."""
     return aliases.where(F.col("pattern").isNotNull() & (F.col("pattern") != "") & ~F.col("pattern").isin(*barred))

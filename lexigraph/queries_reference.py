@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigraph import schemas
 from lexigraph.functions import scalars as X
 from lexigraph.operators import annotations, classterms, embedding, graph, relations, search, tokens, trees
 from lexigraph.plans import patterns
 from lexigraph.session import materialize, scratch, table
+from lexigraph.sources import readers, writers
 from lexigraph.streaming import upsert
 
 KEYS = ["case_id", "sent_id"]
@@ -139,9 +142,10 @@ def relation_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates labelled by gold relations; those with an even a stand for the gold ones."""
-    cand = patterns.match(tree_tokens(spark, sf), AB, KEYS)
-    return relations.labelled(cand, cand.where("a_idx % 2 = 0"), KEYS)
+    """Candidates labelled by gold relations: nouns and their heads, some of which are no candidates."""
+    tok = materialize(tree_tokens(spark, sf))
+    gold = tok.where("type = 'n'").select(*KEYS, F.col("idx").alias("a_idx"), F.lit(-2).alias("r_idx"), F.col("head").alias("b_idx"))
+    return relations.labelled(patterns.match(tok, AB, KEYS), gold, KEYS)
 
 
 def classifier_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,8 +204,9 @@ def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def linked_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges that are left when the nodes of counties aren't there."""
     nodes, edges = graph.case_graph(segmented(spark, sf))
-    return graph.link(edges, nodes)
+    return graph.link(edges, nodes.where("not contains(name, '县')"))
 
 
 def digit_fold(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,7 +235,8 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def word2vec_vocab(spark: SparkSession, sf: str) -> DataFrame:
     sent = segmented(spark, sf).groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("words"))
-    return embedding.skip_gram(sent, "words", size=16, window=3).getVectors().select("word")
+    # words with a vector of the usual size, and its length
+    return embedding.skip_gram(sent, "words").getVectors().select("word", F.size(vector_to_array("vector")).alias("n"))
 
 
 def vector_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,10 +267,12 @@ def last_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ontology_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """Divisions with their properties, and bare entities for typed places that no triple is about."""
     d = table(spark, sf, "divisions")
     kinds = F.array(F.struct(F.lit("level").alias("r"), F.col("level").alias("b")), F.struct(F.lit("code").alias("r"), F.col("code").alias("b")))
-    triples = d.where("level <> 'CityName'").select(F.col("code").cast("long").alias("seq"), F.col("short").alias("a"), F.explode(kinds).alias("x")).select("seq", "a", "x.r", "x.b")
-    made = graph.ontology(triples, graph.aliases_of(d))
+    triples = d.select(F.col("code").cast("long").alias("seq"), F.col("short").alias("a"), F.explode(kinds).alias("x")).select("seq", "a", "x.r", "x.b")
+    typed = table(spark, sf, "dump_locations").where("name is not null").select(F.col("name").alias("pattern"), F.col("name").alias("canonical"))
+    made = graph.ontology(triples, graph.aliases_of(d).unionByName(typed).distinct())
     return made.select("name", F.col("props")["code"].alias("codes"), F.size("props").alias("n"))
 
 
@@ -282,13 +290,136 @@ def incremental_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return nodes.groupBy("label").count().withColumnRenamed("label", "kind").unionByName(edges.groupBy("type").count().withColumnRenamed("type", "kind"))
 
 
+def _keywords(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return graph.keyword_graph(table(spark, sf, "train").select("case_id", "fact"), "fact", search.parse_rules(RULES))
+
+
+def keyword_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _keywords(spark, sf)[1]
+
+
+def keyword_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _keywords(spark, sf)[0]
+
+
+def place_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Courts of the places in the cases, within the divisions that their names hold."""
+    places = graph.case_graph(segmented(spark, sf))[0].where("label = 'Location'")
+    nodes = places.select(F.lit("Organization").alias("label"), F.concat("name", F.lit("人民法院")).alias("name"))
+    return graph.place_edges(nodes, graph.aliases_of(table(spark, sf, "divisions"))).where("src_label = 'Organization'")
+
+
+def place_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of the cases and the division that each is."""
+    nodes = graph.case_graph(segmented(spark, sf))[0]
+    return graph.place_edges(nodes, graph.aliases_of(table(spark, sf, "divisions"))).where("src_label = 'Location'")
+
+
+def _accepted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    tok = materialize(tree_tokens(spark, sf).select(*KEYS, "idx", "head", "dep", "word", "type"))
+    found = patterns.match_all(tok, [AB, ARB], KEYS).select(*KEYS, "a_idx", "r_idx", "b_idx")
+    return graph.relation_graph(found, tok, KEYS)
+
+
+def relation_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges that the matched relations add to the graph."""
+    return _accepted(spark, sf)[1]
+
+
+def relation_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _accepted(spark, sf)[0]
+
+
+def node_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    tok = materialize(tree_tokens(spark, sf).withColumn("penn", X.penn_tag("type")))
+    return graph.node_prefixes(tok.join(tokens.prefixes(tok, KEYS), [*KEYS, "idx"]), ["case_id", "sent_id", "idx"])
+
+
+def merged_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed places merged into the divisions: a place that is there takes the typed short form, the rest stays."""
+    d = table(spark, sf, "divisions").select("name", "short", F.col("code").alias("seen"))
+    typed = table(spark, sf, "dump_locations").where("name is not null").select("name", "short", F.lit("typed").alias("seen"))
+    return graph.merge_nodes(d, typed, ["name"], ["short"])
+
+
+def ontology_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities of the three division levels, written as CSV files with headers and read again."""
+    base, d = scratch(spark), table(spark, sf, "divisions")
+    frames = []
+    for level, cols in (("ProvinceName", ["code", "name"]), ("CityName", ["code", "name", "provinceCode"]), ("AreaName", ["code", "name", "cityCode", "provinceCode"])):
+        own = d.where(F.col("level") == level).select("code", "name", F.col("province_code").alias("provinceCode"), F.col("city_code").alias("cityCode")).select(*cols)
+        own.write.option("header", True).csv(f"{base}/{level}")
+        frames.append(readers.csv_table(spark, f"{base}/{level}", own.schema))
+    return graph.ontology_of(*frames, PEOPLES)[0]
+
+
+def ontology_targets(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "divisions").select("level", "code", "name", F.col("province_code").alias("provinceCode"), F.col("city_code").alias("cityCode"))
+    level = lambda n: d.where(F.col("level") == n).drop("level")
+    return graph.ontology_of(level("ProvinceName"), level("CityName"), level("AreaName"), PEOPLES)[1]
+
+
+STORE = ["(r)<-[:nsubj]-(a),(r)<-[:dobj]-(b)", "(b)<-[:appos]-(a) ?is"]
+
+
+def induced_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns of the matched relations, written as the store has them."""
+    tok = materialize(tree_tokens(spark, sf).select(*KEYS, "idx", "head", "dep"))
+    found = patterns.match_all(tok, [AB, ARB], KEYS).select(*KEYS, "a_idx", "r_idx", "b_idx")
+    store = spark.createDataFrame([(p, 3) for p in STORE], "pattern string, frequency long")
+    return trees.induce_relations(tok, found, KEYS, store)
+
+
+def pattern_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The store after the round: its frequencies and those of the induced patterns, written as JSON and read again."""
+    path = scratch(spark)
+    store = spark.createDataFrame([(p, 3) for p in STORE], "pattern string, frequency long")
+    writers.json_lines(trees.restock(store, induced_patterns(spark, sf)), path, append=False)
+    return readers.json_lines(spark, path, schemas.PATTERN).where("_corrupt is null and frequency > 2").select("pattern", "frequency")
+
+
+def string_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Measures between the typed name and short form of places: indel ratio, longest common substring, ratio without a common end, common characters."""
+    t = table(spark, sf, "dump_locations").where("length(name) > 0 and length(short) > 0").select("name", "short").distinct()
+    return t.select(
+        "name", "short", F.round(X.indel_ratio("name", "short"), 9).alias("ratio"), X.common_substring("name", "short").alias("common"),
+        F.round(X.related_ratio("name", "short"), 9).alias("related"), F.round(X.jaccard(X.chars(F.col("name")), X.chars(F.col("short"))), 9).alias("jaccard"),
+    )
+
+
+def without_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "train").select("case_id", X.strip_breaks("fact").alias("fact")).distinct()
+
+
+def label_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy and recall of the rule that a candidate to the right of its head is a relation."""
+    rows = label_join(spark, sf).withColumn("prediction", (F.col("a_idx") % 4 < 2).cast("int"))
+    return relations.accuracy(rows).select(F.round("accuracy", 9).alias("accuracy"), F.round("recall", 9).alias("recall"))
+
+
+def subject_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Triples about one subject."""
+    t = table(spark, sf, "divisions").select(F.col("name").alias("a"), F.col("level").alias("r"), F.col("short").alias("b"))
+    return t.where("a = '新城区'")
+
+
+def usable_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    return search.usable_aliases(table(spark, sf, "dump_locations").select(F.col("short").alias("pattern"), F.col("name").alias("canonical")).distinct(), ["县", "新城"])
+
+
+def feature_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """The features that hold no distance."""
+    return relations.without_distances(relation_features(spark, sf), [*KEYS, "a_idx", "r_idx", "b_idx"])
+
+
 def queries() -> dict:
     """All queries of this module by name."""
     own = [
         keyword_search, triple_search, line_count, keyword_rules, tfidf_topk, tf_topk, class_lists, first_n_per_class_shard, sampled_frequencies, sentence_split, token_offsets, gap_commas,
         run_grouping, prefix_concat, tree_edges, path_match_ab, path_match_arb, lca_patterns, pattern_frequency, relation_features, token_display, tag_records, tree_text, relation_decode, confirmed_relations, label_join, classifier_gate, indel_align_top1, contains_join,
         hierarchy_links, graph_nodes, graph_edges, linked_edges, digit_fold, key_sanitize, short_name, pos_map, cosine_topk, word2vec_vocab, vector_lookup, position_features, anti_targets, last_wins,
-        ontology_dump, search_page, incremental_upsert,
+        ontology_dump, search_page, incremental_upsert, keyword_edges, keyword_nodes, place_edges, place_alignment, relation_edges, relation_nodes, node_prefixes, merged_nodes, ontology_build, ontology_targets,
+        induced_patterns, pattern_store, string_measures, without_breaks, label_accuracy, subject_scan, usable_aliases, feature_projection,
     ]
     return {f.__name__: f for f in own} | {"tf_by_class": frequencies}
 
@@ -328,11 +459,41 @@ GRAPH = f"""WITH {TOK}, g AS (SELECT DISTINCT 'Case' || case_id AS cn, word, {KI
     i AS (SELECT DISTINCT ym, part, kind FROM (SELECT ym, unnest(y) AS part, 'Year' AS kind FROM (SELECT unnest(ym) AS ym, y FROM q) UNION ALL SELECT ym, unnest(m), 'Month' FROM (SELECT unnest(ym) AS ym, m FROM q)) WHERE contains(ym, part))"""
 EDGES = GRAPH + f""" SELECT 'LegalCase' AS src_label, cn AS src, {REL} AS type, label AS dst_label, name AS dst FROM d UNION SELECT 'LegalCase', cn, '相关时间', label, name FROM z
     UNION SELECT 'YearMonth', ym, '相关时间', kind, part FROM i"""
+
+
+def lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two non-empty strings: rows of the table folded over the characters of a."""
+    equal = f"list_transform(range(1, length({a}) + 1), lambda i: list_transform(range(1, length({b}) + 1), lambda j: CASE WHEN {a}[i] = {b}[j] THEN 1 ELSE 0 END))"
+    best = "list_max(list_transform(range(1, m + 1), lambda k: greatest(o[k], CASE WHEN k > 1 THEN o[k - 1] ELSE 0 END + e[k])))"
+    return f"list_reduce(list_prepend(list_transform(range(1, length({b}) + 1), lambda z: 0), {equal}), lambda o, e: list_transform(range(1, length({b}) + 1), lambda m: {best}))[-1]"
+
+
+def ratio_sql(a: str, b: str) -> str:
+    return f"((length({a}) + length({b}) - 2 * {lcs_sql(a, b)}) / greatest(least(length({a}), length({b})), 1))"
+
+
+def _aligned(names: str) -> str:
+    """Tables that end in best: the nearest alias of each of the names, where strings that may align share a character or two."""
+    return f"""{ALIASES}, a AS ({names}), p AS (SELECT DISTINCT pattern FROM al WHERE length(pattern) > 0),
+        ac AS (SELECT DISTINCT name, unnest(string_split(name, '')) AS c FROM a), pc AS (SELECT DISTINCT pattern, unnest(string_split(pattern, '')) AS c FROM p),
+        m AS (SELECT name, pattern FROM ac JOIN pc USING (c) GROUP BY 1, 2 HAVING abs(length(name) - length(pattern)) <= 0.5 * least(length(name), length(pattern)) AND (count(*) >= 2 OR length(name) = 1 OR length(pattern) = 1 OR len(list_distinct(string_split(name, ''))) < length(name) OR len(list_distinct(string_split(pattern, ''))) < length(pattern))),
+        s AS (SELECT name, canonical, {ratio_sql('name', 'pattern')} AS score FROM m JOIN al USING (pattern) WHERE canonical <> name),
+        best AS (SELECT name, canonical, score FROM s WHERE score <= 0.5 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score, canonical) = 1)"""
+
+
+NODES = GRAPH + " SELECT label, name, 'legalCase' AS subgraph FROM (SELECT 'LegalCase' AS label, 'Case' || case_id AS name FROM t0 UNION SELECT label, name FROM d UNION SELECT label, name FROM z)"
+RULES_SQL = "(VALUES ('手机尾号[0-9]{4}', '尾号'), ('自愿认罪', '自愿认罪'), ('另案处理', '另案'), ('绰号“[^”]+”', '绰号')) AS r(p, hit)"
+LABELS = f"WITH {TREE}, {AB_SQL}, lab AS (SELECT ab.*, CASE WHEN t.type = 'n' AND t.head = ab.b_idx THEN 1 ELSE 0 END AS label FROM ab JOIN tok t ON t.case_id = ab.case_id AND t.sent_id = ab.sent_id AND t.idx = ab.a_idx)"
+RELATED = f"""WITH {TREE}, {AB_SQL}, {ARB_SQL}, u AS (SELECT *, {LABELLED} AS lb, 'Case' || case_id AS cn, CASE WHEN type = 'PER' THEN word || '_Case' || case_id ELSE word END AS nm FROM tok), r AS (SELECT * FROM ab UNION ALL SELECT * FROM arb),
+    rel AS (SELECT a.cn, a.lb AS la, a.nm AS na, b.lb AS lb, b.nm AS nb, CASE WHEN r_idx = -1 THEN 'is' ELSE t.word END AS rw FROM r JOIN u a ON (a.case_id, a.sent_id, a.idx) = (r.case_id, r.sent_id, r.a_idx)
+      JOIN u b ON (b.case_id, b.sent_id, b.idx) = (r.case_id, r.sent_id, r.b_idx) LEFT JOIN u t ON (t.case_id, t.sent_id, t.idx) = (r.case_id, r.sent_id, r.r_idx))"""
+MADE = """WITH b AS (SELECT *, CASE level WHEN 'ProvinceName' THEN 0 WHEN 'CityName' THEN 1 ELSE 2 END AS rank, regexp_replace(name, CASE level WHEN 'ProvinceName' THEN '(自治区|省|市)$' WHEN 'CityName' THEN '(自治州|地区|市)$' ELSE '(自治县|市|县)$' END, '') AS s FROM divisions),
+    c AS (SELECT *, CASE WHEN s = '' THEN name ELSE s END AS s2 FROM b), m AS (SELECT *, CASE WHEN s2 = '内蒙古' OR regexp_replace(s2, '(岚族|泽族)+$', '') = '' THEN s2 ELSE regexp_replace(s2, '(岚族|泽族)+$', '') END AS made FROM c)"""
 NOISE = X.KEY_NOISE.replace("'", "''")
 
 
 def oracle_sql() -> dict:
-    """SQL of the queries above; align and the classifier have none and are tested against brute force."""
+    """SQL of the queries above; the classifier has none."""
     masked = "CASE WHEN x = words[1] THEN 4 WHEN x = words[-1] THEN 5 WHEN x = '被告人' THEN 1 WHEN x = '，' THEN 2 WHEN x = '。' THEN 3 ELSE 0 END"
 
     def positions(entity: str) -> str:
@@ -368,16 +529,24 @@ def oracle_sql() -> dict:
             SELECT s.case_id, s.sent_id, a_idx, r_idx, b_idx, a.num AS pos_a, r.num AS pos_r, b.num AS pos_b, abs(r_idx - a_idx) AS ra, CASE WHEN r_idx > a_idx THEN 1 ELSE -1 END AS ra_sign, abs(b_idx - r_idx) AS br, CASE WHEN b_idx > r_idx THEN 1 ELSE -1 END AS br_sign,
               abs(b_idx - a_idx) AS ba, CASE WHEN b_idx > a_idx THEN 1 ELSE -1 END AS ba_sign, CAST(coalesce(comma, false) AS INTEGER) AS comma, CASE WHEN stop THEN 1 ELSE -1 END AS stop
             FROM s JOIN u a ON (a.case_id, a.sent_id, a.idx) = (s.case_id, s.sent_id, a_idx) JOIN u r ON (r.case_id, r.sent_id, r.idx) = (s.case_id, s.sent_id, r_idx) JOIN u b ON (b.case_id, b.sent_id, b.idx) = (s.case_id, s.sent_id, b_idx)""",
-        "label_join": f"WITH {TREE}, {AB_SQL} SELECT *, CASE WHEN a_idx % 2 = 0 THEN 1 ELSE 0 END AS label FROM ab",
-        "token_display": f"WITH {TREE} SELECT c.case_id, c.sent_id, c.idx, c.word || '(' || c.idx || coalesce(c.type, '') || '->' || coalesce(h.word, 'PUNC') || ')' AS line FROM tok c LEFT JOIN tok h ON h.case_id = c.case_id AND h.sent_id = c.sent_id AND h.idx = c.head",
+        "label_join": LABELS + " SELECT * FROM lab",
+        "label_accuracy": LABELS + " SELECT round(avg(CASE WHEN (a_idx % 4 < 2) = (label = 1) THEN 1.0 ELSE 0 END), 9) AS accuracy, round(avg(CASE WHEN label = 1 THEN CASE WHEN a_idx % 4 < 2 THEN 1.0 ELSE 0 END END), 9) AS recall FROM lab",
+        "token_display": f"WITH {TREE}, w AS (SELECT case_id, sent_id, map(list(idx), list(word)) AS words FROM tok GROUP BY 1, 2) SELECT c.case_id, c.sent_id, c.idx, c.word || '(' || c.idx || coalesce(c.type, '') || '->' || coalesce(words[c.head], 'PUNC') || ')' AS line FROM tok c JOIN w ON w.case_id = c.case_id AND w.sent_id = c.sent_id",
+        "feature_projection": f"""WITH {TREE}, {ARB_SQL}, {NUMBERS}, u AS (SELECT tok.*, coalesce(number, 99) AS num FROM tok LEFT JOIN n ON tok.type = n.tag)
+            SELECT s.case_id, s.sent_id, a_idx, r_idx, b_idx, a.num AS pos_a, r.num AS pos_r, b.num AS pos_b, CASE WHEN b_idx > r_idx THEN 1 ELSE -1 END AS br_sign
+            FROM arb s JOIN u a ON (a.case_id, a.sent_id, a.idx) = (s.case_id, s.sent_id, a_idx) JOIN u r ON (r.case_id, r.sent_id, r.idx) = (s.case_id, s.sent_id, r_idx) JOIN u b ON (b.case_id, b.sent_id, b.idx) = (s.case_id, s.sent_id, b_idx)""",
+        "tree_text": f"""WITH RECURSIVE {TREE}, tp AS (SELECT case_id, sent_id, idx, dep, word, [idx] AS path FROM tok WHERE head = 0
+              UNION ALL SELECT t.case_id, t.sent_id, t.idx, t.dep, t.word, list_append(tp.path, t.idx) FROM tok t JOIN tp ON t.case_id = tp.case_id AND t.sent_id = tp.sent_id AND t.head = tp.idx),
+            o AS (SELECT *, len(path) - coalesce(len(lead(path) OVER (PARTITION BY case_id, sent_id ORDER BY path)), 1) + 1 AS closing FROM tp)
+            SELECT case_id, sent_id, '(ROOT:[ROOT] ' || string_agg('(' || dep || ':' || word || ' ' || repeat(')', CAST(closing AS BIGINT)), '' ORDER BY path) || ')' AS tree FROM o GROUP BY 1, 2""",
         "tag_records": f"WITH {TOK} SELECT case_id, pos, word, type, CAST(coalesce(sum(length(word)) OVER (PARTITION BY case_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start, CAST(length(word) AS INTEGER) AS length FROM t0",
         "relation_decode": f"WITH {TREE} SELECT case_id, sent_id, idx AS a_idx, CASE idx % 3 WHEN 0 THEN -1 ELSE -5 END AS r_idx, -10 AS b_idx FROM tok WHERE type = 'PER' AND idx % 3 < 2",
         "confirmed_relations": f"WITH {TREE}, {ARB_SQL} SELECT * FROM arb WHERE a_idx % 3 <> 0 UNION SELECT case_id, sent_id, b_idx, r_idx, a_idx FROM arb WHERE a_idx % 3 = 0",
-        "contains_join": f"WITH {TOK}, {ALIASES}, o AS (SELECT DISTINCT word AS name FROM t0 WHERE type IN ('ORG', 'LOC')) SELECT DISTINCT name, canonical FROM o JOIN al ON contains(name, pattern) WHERE length(pattern) >= 2",
+        "contains_join": f"WITH {TOK}, {ALIASES}, o AS (SELECT DISTINCT word AS name FROM t0 WHERE type IN ('ORG', 'LOC')) SELECT DISTINCT name, canonical FROM o JOIN al ON contains(name, pattern) WHERE pattern <> ''",
         "hierarchy_links": "SELECT DISTINCT d.code, d.name, d.level, p.name AS parent, p.level AS parent_level FROM divisions d JOIN divisions p ON p.code = coalesce(d.city_code, d.province_code)",
-        "graph_nodes": GRAPH + " SELECT label, name, 'legalCase' AS subgraph FROM (SELECT 'LegalCase' AS label, 'Case' || case_id AS name FROM t0 UNION SELECT label, name FROM d UNION SELECT label, name FROM z)",
+        "graph_nodes": NODES,
         "graph_edges": EDGES,
-        "linked_edges": EDGES,
+        "linked_edges": f"SELECT * FROM ({EDGES}) WHERE NOT contains(src, '县') AND NOT contains(dst, '县')",
         "digit_fold": f"WITH {TOK} SELECT DISTINCT word, translate(word, '零一二三四五六七八九十', '01234567891') AS folded FROM t0 WHERE type = 'TIME'",
         "key_sanitize": f"SELECT DISTINCT name, translate(CASE WHEN regexp_matches(name, '^[0-9]') THEN '_' || name ELSE name END, '{NOISE}', '') AS key FROM dump_locations WHERE name IS NOT NULL",
         "short_name": """WITH b AS (SELECT code, name, level, regexp_replace(name, CASE level WHEN 'ProvinceName' THEN '(自治区|省|市)$' WHEN 'CityName' THEN '(自治州|地区|市)$' ELSE '(自治县|市|县)$' END, '') AS s FROM divisions),
@@ -385,12 +554,39 @@ def oracle_sql() -> dict:
         "pos_map": f"WITH {TOK}, {NUMBERS} SELECT DISTINCT word, type, penn, CAST(coalesce(number, 99) AS INTEGER) AS number, {LABELLED} AS label, CASE WHEN coalesce(penn, '') = '' THEN word ELSE word || '/' || penn END AS rendered FROM t0 LEFT JOIN n ON t0.type = n.tag",
         "cosine_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT p.vec_id AS probe, v.vec_id, list_cosine_similarity(v.e, p.e) AS c FROM v, v p WHERE p.vec_id % 50 = 0 AND v.vec_id <> p.vec_id)
             SELECT probe, vec_id, round(c, 6) AS cosine, CAST(row_number() OVER (PARTITION BY probe ORDER BY round(c, 9) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
-        "word2vec_vocab": f"WITH {TOK} SELECT word FROM t0 GROUP BY 1 HAVING count(*) >= 10",
+        "word2vec_vocab": f"WITH {TOK} SELECT word, 200 AS n FROM t0 GROUP BY 1 HAVING count(*) >= 10",
         "vector_lookup": f"WITH {TOK}, v AS (SELECT word, min(vec) AS vec FROM tencent_word_embeddings WHERE vec IS NOT NULL GROUP BY 1) SELECT DISTINCT t0.word, round(CAST(coalesce(vec[1], 1) AS DOUBLE), 5) AS first, CAST(coalesce(len(vec), 200) AS INTEGER) AS n FROM t0 LEFT JOIN v ON t0.word = v.word",
         "position_features": f"WITH {SENT}, w AS (SELECT case_id, sent_id, list(word ORDER BY idx) AS words FROM t2 GROUP BY 1, 2) SELECT case_id, sent_id, array_to_string(list_resize(list_transform(words, lambda x: CAST({masked} AS INTEGER)), 121, 0), ',') AS ids, {positions('words[1]')} AS pos1, {positions('words[-1]')} AS pos2 FROM w",
         "anti_targets": f"WITH {TOK} SELECT DISTINCT name FROM divisions WHERE name NOT IN (SELECT word FROM t0 WHERE type = 'LOC')",
         "last_wins": "SELECT DISTINCT ON (case_id) case_id, loaded_at, accusation FROM train WHERE case_id IS NOT NULL ORDER BY case_id, loaded_at DESC",
-        "ontology_dump": f"""WITH {ALIASES}, t AS (SELECT canonical, d.code FROM divisions d JOIN al ON al.pattern = d.short WHERE d.level <> 'CityName'), f AS (SELECT canonical, string_agg(code, ';' ORDER BY CAST(code AS BIGINT)) AS codes FROM (SELECT DISTINCT * FROM t UNION ALL SELECT * FROM t WHERE false) GROUP BY 1)
-            SELECT n.canonical AS name, codes, CASE WHEN codes IS NULL THEN 0 ELSE 2 END AS n FROM (SELECT DISTINCT canonical FROM al) n LEFT JOIN f USING (canonical)""",
+        "ontology_dump": f"""WITH {ALIASES}, tg AS (SELECT * FROM al UNION SELECT name, name FROM dump_locations WHERE name IS NOT NULL), t AS (SELECT canonical, d.code, d.level FROM divisions d JOIN tg ON tg.pattern = d.short),
+            f AS (SELECT canonical, string_agg(code, ';' ORDER BY CAST(code AS BIGINT)) AS codes FROM t GROUP BY 1)
+            SELECT n.canonical AS name, codes, CASE WHEN codes IS NULL THEN 0 ELSE 2 END AS n FROM (SELECT DISTINCT canonical FROM tg) n LEFT JOIN f USING (canonical)""",
+        "keyword_edges": f"SELECT DISTINCT 'LegalCase' AS src_label, 'Case' || case_id AS src, '监督关键短语' AS type, 'Keyword' AS dst_label, hit AS dst FROM train, {RULES_SQL} WHERE case_id IS NOT NULL AND regexp_matches(fact, p)",
+        "keyword_nodes": f"SELECT DISTINCT 'Keyword' AS label, hit AS name, 'legalCase' AS subgraph FROM train, {RULES_SQL} WHERE case_id IS NOT NULL AND regexp_matches(fact, p)",
+        "place_edges": f"WITH {TOK}, {ALIASES}, o AS (SELECT DISTINCT word || '人民法院' AS name FROM t0 WHERE contains(type, 'LOC')) SELECT DISTINCT 'Organization' AS src_label, name AS src, '位于' AS type, 'Location' AS dst_label, canonical AS dst FROM o JOIN al ON contains(name, pattern) WHERE pattern <> ''",
+        "relation_edges": RELATED + " SELECT la AS src_label, na AS src, '相关实体' AS type, 'LegalCase' AS dst_label, cn AS dst FROM rel UNION SELECT lb, nb, '相关实体', 'LegalCase', cn FROM rel UNION SELECT la, na, rw, lb, nb FROM rel",
+        "relation_nodes": RELATED + " SELECT la AS label, na AS name, 'legalCase' AS subgraph FROM rel UNION SELECT lb, nb, 'legalCase' FROM rel",
+        "node_prefixes": f"""WITH {TREE}, {NUMBERS}, p AS (SELECT case_id, sent_id, head AS idx, string_agg(word, '|' ORDER BY idx DESC) || '|' AS prefix FROM tok JOIN n ON tok.type = n.tag WHERE head > 0 AND penn NOT IN ('PU', 'P', 'U', '') GROUP BY 1, 2, 3),
+            k AS (SELECT *, {KIND} AS label FROM tok JOIN p USING (case_id, sent_id, idx))
+            SELECT label, CASE WHEN label = 'Person' THEN word || '_Case' || case_id ELSE word END AS name, arg_max(prefix, (case_id, sent_id, idx)) AS prefix FROM k WHERE label IS NOT NULL AND label <> 'Location' GROUP BY 1, 2""",
+        "merged_nodes": """WITH o AS (SELECT name, max((short, code)) AS o FROM divisions GROUP BY 1), n AS (SELECT name, max((coalesce(short, ''), short)) AS n FROM dump_locations WHERE name IS NOT NULL GROUP BY 1)
+            SELECT name, CASE WHEN o IS NULL THEN n[2] ELSE coalesce(n[2], o[1]) END AS short, CASE WHEN o IS NULL THEN 'typed' ELSE o[2] END AS seen FROM o FULL JOIN n USING (name)""",
+        "ontology_build": MADE + " SELECT name, arg_max(level, (rank, code)) AS type, max((rank, code))[2] AS code, arg_max(made, (rank, code)) AS short, CASE WHEN max(rank) = 0 THEN NULL ELSE arg_max(coalesce(province_code, ''), (rank, code)) END AS province_code, CASE WHEN max(rank) < 2 THEN NULL ELSE arg_max(coalesce(city_code, ''), (rank, code)) END AS city_code FROM m GROUP BY 1",
+        "ontology_targets": MADE + " SELECT pattern, arg_max(name, (rank, code)) AS canonical FROM (SELECT made AS pattern, name, rank, code FROM m UNION ALL SELECT name, name, rank, code FROM m) GROUP BY 1",
+        "induced_patterns": f"WITH {TREE}, {AB_SQL}, {ARB_SQL} SELECT *, '(b)<-[:appos]-(a) ?is' AS pattern FROM ab UNION ALL SELECT *, '(r)<-[:nsubj]-(a),(r)<-[:dobj]-(b)' FROM arb",
+        "pattern_store": f"WITH {TREE}, {AB_SQL}, {ARB_SQL} SELECT '(b)<-[:appos]-(a) ?is' AS pattern, 3 + (SELECT count(*) FROM ab) AS frequency UNION ALL SELECT '(r)<-[:nsubj]-(a),(r)<-[:dobj]-(b)', 3 + (SELECT count(*) FROM arb)",
+        "without_breaks": "SELECT DISTINCT case_id, replace(replace(fact, chr(13) || chr(10), ''), chr(10), '') AS fact FROM train",
+        "string_measures": f"""WITH t AS (SELECT DISTINCT name, short FROM dump_locations WHERE length(name) > 0 AND length(short) > 0),
+            s AS (SELECT name, short, i, n, substr(name, i, n) AS s FROM t, unnest(range(1, length(name) + 1)) AS x(i), unnest(range(1, length(name) + 1)) AS y(n) WHERE i + n <= length(name) + 1 AND contains(short, substr(name, i, n))),
+            c AS (SELECT t.name, t.short, coalesce(arg_max(s, (n, -i)), '') AS common FROM t LEFT JOIN s USING (name, short) GROUP BY 1, 2),
+            d AS (SELECT *, common <> '' AND ends_with(name, common) AND ends_with(short, common) AND common <> name AND common <> short AS shared FROM c),
+            e AS (SELECT *, CASE WHEN shared THEN left(name, length(name) - length(common)) ELSE name END AS n2, CASE WHEN shared THEN left(short, length(short) - length(common)) ELSE short END AS s2, string_split(name, '') AS x, string_split(short, '') AS y FROM d)
+            SELECT name, short, round({ratio_sql('name', 'short')}, 9) AS ratio, common, round({ratio_sql('n2', 's2')}, 9) AS related, round(len(list_distinct(list_intersect(x, y))) / len(list_distinct(list_concat(x, y))), 9) AS jaccard FROM e""",
+        "indel_align_top1": "WITH " + _aligned("SELECT DISTINCT name FROM dump_locations WHERE length(name) > 0") + " SELECT name, canonical, score FROM best",
+        "place_alignment": f"WITH {TOK}, " + _aligned("SELECT DISTINCT word AS name FROM t0 WHERE contains(type, 'LOC')") + " SELECT 'Location' AS src_label, name AS src, 'is' AS type, 'Location' AS dst_label, canonical AS dst FROM best",
+        "subject_scan": "SELECT name AS a, level AS r, short AS b FROM divisions WHERE name = '新城区'",
+        "usable_aliases": "SELECT DISTINCT short AS pattern, name AS canonical FROM dump_locations WHERE short IS NOT NULL AND short NOT IN ('', '县', '新城')",
+        "incremental_upsert": f"SELECT label AS kind, count(*) AS count FROM ({NODES}) GROUP BY 1 UNION ALL SELECT type, count(*) FROM ({EDGES}) GROUP BY 1",
         "search_page": f"SELECT * FROM ({CASES}) ORDER BY case_id, accusation LIMIT 100 OFFSET 96",
     }

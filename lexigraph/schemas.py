@@ -18,3 +18,4 @@ PATTERN = struct(pattern=S, frequency=L)
 SAMPLE = struct(cut_text=S, e1=S, e2=S, tag=I)
 NODE = struct(label=S, name=S, subgraph=S)
 EDGE = struct(src_label=S, src=S, type=S, dst_label=S, dst=S)
+ANNOTATED = struct(sentences=T.ArrayType(struct(index=I, tokens=T.ArrayType(struct(index=I, word=S, pos=S)))))

@@ -91,6 +91,14 @@ def sentences_flat(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tokens, gold
 
 
+def annotator_tokens(df: DataFrame, column: str) -> DataFrame:
+    """Tokens of an annotator's JSON (sentences of tokens with index, word, pos): sent_id, idx, word, pos; text that is no such JSON gives no rows."""
+    keep = [c for c in df.columns if c != column]
+    sent = df.select(*keep, F.explode(F.from_json(column, schemas.ANNOTATED)["sentences"]).alias("s"))
+    tok = sent.select(*keep, F.col("s.index").alias("sent_id"), F.explode("s.tokens").alias("t"))
+    return tok.select(*keep, "sent_id", F.col("t.index").alias("idx"), "t.word", "t.pos")
+
+
 def through_process(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """Rows through an external segmenter or parser: run is called once per partition, so one process serves a partition."""
     return df.mapInPandas(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,14 @@ def append_new(df: DataFrame, path: str, key: list[str]) -> None:
 
 
 def text_encoded(df: DataFrame, column: str, path: str, encoding: str) -> None:
-    """One line per value in a given encoding."""
-    df.select(column).write.mode("overwrite").option("encoding", encoding).option("quote", "").option("escape", "").option("sep", "\x01").csv(path)
+    """One line per value in any encoding: its bytes are written by way of the encoding that keeps every byte."""
+
+    @F.pandas_udf("string")
+    def as_bytes(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else t.encode(encoding, "replace").decode("iso-8859-1"))
+
+    lines = df.select(as_bytes(F.col(column)).alias("value"))
+    lines.write.mode("overwrite").option("encoding", "iso-8859-1").option("quote", "").option("escape", "").option("sep", "\x01").csv(path)
 
 
 def embeddings(df: DataFrame, path: str) -> None:

@@ -20,6 +20,7 @@ def upsert_tokens(spark: SparkSession, source: str, schema: StructType | str, ta
     stream = spark.readStream.schema(schema).parquet(source)
 
     def batch(df: DataFrame, epoch: int) -> None:
+        df = df.where(F.col("case_id").isNotNull() & (F.col("word") != ""))
         nodes, edges = graph.case_graph(df)
         writers.append_new(nodes, f"{target}/nodes", ["label", "name"])
         writers.append_new(edges, f"{target}/edges", graph.EDGE)

@@ -4,12 +4,12 @@ import os
 import pytest
 
 import __spark_entry__
-from lexigraph import queries_core, queries_reference
+from lexigraph import queries_core, queries_io, queries_reference
 
 SF = "/root/testdata/sf0.001"
-QUERIES = queries_reference.queries() | queries_core.queries()
-SQL = queries_reference.oracle_sql() | queries_core.oracle_sql()
-CHECKED = ["keyword_search", "keyword_rules", "tfidf_topk", "sampled_frequencies", "sentence_split", "run_grouping", "prefix_concat", "path_match_arb", "pattern_frequency", "relation_features", "graph_edges", "cosine_topk", "position_features", "p5_found", "p5_per_charge"]
+QUERIES = queries_reference.queries() | queries_io.queries() | queries_core.queries()
+SQL = queries_reference.oracle_sql() | queries_io.oracle_sql() | queries_core.oracle_sql()
+CHECKED = ["keyword_search", "keyword_rules", "tfidf_topk", "sampled_frequencies", "sentence_split", "run_grouping", "prefix_concat", "path_match_arb", "pattern_frequency", "relation_features", "graph_edges", "cosine_topk", "position_features", "relation_edges", "induced_patterns", "indel_align_top1", "segmenter_records", "parser_rows", "embedding_file", "gbk_lines", "string_measures", "incremental_upsert", "tree_text", "p5_found", "p5_per_charge"]
 
 
 @pytest.fixture(scope="module")
