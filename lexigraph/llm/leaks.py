@@ -130,15 +130,19 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
     Out: doc_id, item_id, distance (least edit distance of a shared passage), exact (a run of `passage` letters and
     digits is shared; blanks, punctuation, symbols, letter case and character width don't count). Null, empty and
     short texts hold nothing; items shorter than a passage give nothing away; rows repeated under one id give one row;
-    an empty table on either side gives no rows. Items beyond BLOCK_CHARS are matched block by block, each block against all documents.
+    an empty table on either side gives no rows. Items of one text are matched once. Items beyond BLOCK_CHARS are matched block
+    by block, each block against all documents.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= passage - errors))
     usable = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull()).distinct()
+    # the least id stands for all items of a text
+    first = usable.groupBy("text").agg(F.min("id").alias("id"))
+    same = usable.join(first.withColumnRenamed("id", "item"), "text").select("item", "id")
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc {kind}, item long, distance int, exact boolean"
     out = None
-    for block in _blocks(usable):
+    for block in _blocks(first):
         shared = spark.sparkContext.broadcast(block)  # at most BLOCK_CHARS characters and one item
         hits = slim.mapInArrow(_scan(shared, passage, errors), schema)
         hits = hits.groupBy("doc", "item").agg(F.min("distance").alias("distance"), F.max("exact").alias("exact"))
@@ -147,7 +151,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         out = spark.createDataFrame([], schema)
-    return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "distance", "exact")
+    return out.join(same, "item").select(F.col("doc").alias(doc_id), F.col("id").alias(item_id), "distance", "exact")
 
 
 def _scan(shared, passage: int, errors: int):

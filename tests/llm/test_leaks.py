@@ -104,3 +104,11 @@ def test_edits_equal_brute_force():
             least = min(distance(item[i : i + 32], text) for i in range(len(item) - 31))
             got = leaks.Items([(1, item)], 32, errors).search(text)
             assert {k: v[0] for k, v in got.items()} == ({1: least} if least <= errors else {})
+
+
+def test_items_of_one_text_are_matched_once_and_all_reported(spark):
+    text = "abcdefghijklmnopqrstuvwxyz0123456789"
+    it = spark.createDataFrame([(i, text) for i in (5, 3, 9)] + [(5, text), (7, "another text, which nobody leaks to anyone at all")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x" + text), (2, "none")], "doc_id long, text string")
+    assert sorted(tuple(r)[:2] for r in leaks.leaked_items(df, it, "doc_id", "text", "item_id", "text").collect()) == [(1, 3), (1, 5), (1, 9)]
+    assert sum(len(b) for b in leaks._blocks(it.groupBy("text").agg({"item_id": "min"}).toDF("text", "id"))) == 2
