@@ -151,7 +151,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         out = spark.createDataFrame([], schema)
-    return out.join(same, "item").select(F.col("doc").alias(doc_id), F.col("id").alias(item_id), "distance", "exact")
+    found = out.join(same, "item").groupBy("doc", "id").agg(F.min("distance").alias("distance"), F.max("exact").alias("exact"))
+    return found.select(F.col("doc").alias(doc_id), F.col("id").alias(item_id), "distance", "exact")
 
 
 def _scan(shared, passage: int, errors: int):
