@@ -126,7 +126,9 @@ def per_key(df: DataFrame, key: str, order: str, row_id: str, size: Column, part
         F.coalesce(F.col(row_id).cast("long"), F.lit(NONE + 1)).alias("id"),
         F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
     )
-    ranged = slim.repartitionByRange(n, "key", "at", "id").sortWithinPartitions("key", "at", "id").withColumn("part", F.spark_partition_id().cast("long"))
+    # rows alike in key, time and id are told apart by their place in the input, so that they too can be cut
+    slim = slim.withColumn("place", F.monotonically_increasing_id())
+    ranged = slim.repartitionByRange(n, "key", "at", "id", "place").sortWithinPartitions("key", "at", "id").drop("place").withColumn("part", F.spark_partition_id().cast("long"))
     states = ranged.mapInArrow(_scan, STATE)
     # At most one state per (key, range): a key's list is as long as the ranges it fills.
     step = F.struct("part", *[c for c in STATE.names if c not in ("key", "part")])

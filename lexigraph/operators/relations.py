@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.functions import scalars as X
+from lexigraph.operators import trees
 from lexigraph.operators.tokens import COMMAS, STOPS
+from lexigraph.plans import patterns
+from lexigraph.session import materialize
 
 FEATURES = ["pos_a", "pos_r", "pos_b", "ra", "ra_sign", "br", "br_sign", "ba", "ba_sign", "comma", "stop"]
 
@@ -81,6 +84,20 @@ def gate(rows: DataFrame, models: dict[str, object]) -> DataFrame:
     return out.where("accepted = 1").select(*rows.columns)
 
 
+def retrain(tokens: DataFrame, gold: DataFrame, store: DataFrame, keys: list[str], least: int = 3) -> tuple[DataFrame, dict[str, object]]:
+    """One round of learning from confirmed relations: the store with their patterns counted in, and a tree for each of its patterns.
+
+    gold has keys, a_idx, r_idx, b_idx. Patterns of a frequency of `least` or more are matched again; their candidates are labelled by gold.
+    """
+    store = materialize(trees.restock(store, trees.induce_relations(tokens, gold, keys, store)))
+    known = [r["pattern"] for r in store.where(F.col("frequency") >= least).select("pattern").orderBy("pattern").collect()]  # a pattern becomes a plan, so all are listed
+    if not known:
+        return store, {}
+    found = patterns.match_all(tokens, known, keys)
+    rows = materialize(labelled(features(found, tokens, keys), gold, keys))
+    return store, train_trees(rows)
+
+
 def accuracy(predicted: DataFrame) -> DataFrame:
     """Share of right labels, and recall of labels other than 0."""
     hit = (F.col("label") == F.col("prediction")).cast("double")

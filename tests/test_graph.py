@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigraph import session
-from lexigraph.operators import graph, trees
+from lexigraph.operators import graph, relations, trees
 from lexigraph.plans import patterns
 from lexigraph.sources import readers, writers
 from lexigraph.streaming import upsert
@@ -122,3 +122,15 @@ def test_text_in_another_encoding(spark, tmp_path):
     writers.text_encoded(spark.createDataFrame([("甲县,乙\"",), ("b c",)], "v string"), "v", path, "GBK")
     assert sorted(r.value for r in readers.lines(spark, path, "GBK").collect()) == sorted(["甲县,乙\"", "b c"])
     assert readers.lines(spark, path, "GBK").where(F.contains("value", F.lit("甲"))).count() == 1
+
+
+def test_a_round_of_learning(spark):
+    """Twenty sentences of one shape, half of them confirmed: the pattern enters the store, and its tree tells them apart by the tag."""
+    rows = [(k, 0, i, w, t if i != 1 or k % 2 else "n", h, d) for k in range(20) for i, w, t, h, d in [(1, "周某", "PER", 2, "nsubj"), (2, "抓获", "v", 0, "root"), (3, "民警", "n", 2, "dobj")]]
+    tok = spark.createDataFrame(rows, SCHEMA)
+    confirmed = spark.createDataFrame([(k, 0, 1, 2, 3) for k in range(1, 20, 2)], "case_id long, sent_id int, a_idx int, r_idx int, b_idx int")
+    store, models = relations.retrain(tok, confirmed, spark.createDataFrame([], "pattern string, frequency long"), KEYS)
+    assert [tuple(r) for r in store.collect()] == [("(a)-[:nsubj]->(r),(r)<-[:dobj]-(b)", 10)]
+    rows = relations.features(patterns.match_all(tok, list(models), KEYS), tok, KEYS)
+    assert {r.case_id for r in relations.gate(rows, models).collect()} == set(range(1, 20, 2))
+    assert relations.retrain(tok, confirmed.limit(0), spark.createDataFrame([], "pattern string, frequency long"), KEYS)[1] == {}

@@ -198,3 +198,12 @@ def test_similar_to_skips_unusable_vectors(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("z", [0.0, 0.0]), ("n", None), ("s", [1.0])], "k string, v array<float>")
     probes = v.where("k = 'a'").select(F.col("k").alias("probe"), F.col("v").alias("pvec"))
     assert [(r.k, r.cosine) for r in embedding.similar_to(v, "k", "v", probes, 3).collect()] == [("b", 0.707107)]
+
+
+def test_rows_alike_are_cut_too(spark):
+    """A key with null times and ids only: its rows are spread, and the result is that of one task."""
+    df = spark.createDataFrame([("a", None, None, "x")] * 4000 + [("b", None, 1, "y")], "k string, t timestamp, i long, f string").repartition(4)
+    got = {r.k: (r.n_rows, r.n_distinct, r.total) for r in balanced.per_key(df, "k", "t", "i", F.length("f"), 4).collect()}
+    assert got == {"a": (4000, 1, 4000), "b": (1, 1, 1)}
+    sizes = df.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(4, "k", "t", "i", "place").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 2000
