@@ -70,6 +70,20 @@ def test_document_goes_before_lists():
     assert split("He met Abteilung. Adams there.", corpus) == ["He met Abteilung. Adams there."]
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["The bill came at noon.", "①2019年9月21日，民警发现刀2件。"],
+        ["The bill came at noon.", "²他没有回答。"],
+        ["The bill came at noon.", "① The rest was paid.", "② It rained."],
+        ["It says so, see No. ① of the list.", "It rained."],
+        ["It rained.", "²"],
+    ],
+)
+def test_digits_that_are_no_decimals(parts):
+    assert split(" ".join(parts)) == parts
+
+
 def test_many_open_marks_and_long_words():
     text = "“" + "（" * 100 + "甲。乙" + "）" * 100 + "。”他说。完。"
     assert split(text) == [text[:-2], "完。"]
