@@ -9,7 +9,7 @@ from lexigraph.functions import scalars as X
 from lexigraph.operators import trees
 from lexigraph.operators.tokens import COMMAS, STOPS
 from lexigraph.plans import patterns
-from lexigraph.session import materialize
+from lexigraph.session import materialize, merged
 
 FEATURES = ["pos_a", "pos_r", "pos_b", "ra", "ra_sign", "br", "br_sign", "ba", "ba_sign", "comma", "stop"]
 
@@ -58,7 +58,7 @@ def labelled(candidates: DataFrame, gold: DataFrame, keys: list[str]) -> DataFra
     """label 1 where (a, r, b) is a gold relation; all implied relations count as one."""
     one = lambda: F.when(F.col("r_idx") > 0, F.col("r_idx")).otherwise(-100)
     g = gold.select(*keys, "a_idx", one().alias("rk"), "b_idx").distinct().withColumn("hit", F.lit(1))
-    return candidates.withColumn("rk", one()).join(g, [*keys, "a_idx", "rk", "b_idx"], "left").withColumn("label", F.coalesce("hit", F.lit(0))).drop("hit", "rk")
+    return candidates.withColumn("rk", one()).join(merged(g), [*keys, "a_idx", "rk", "b_idx"], "left").withColumn("label", F.coalesce("hit", F.lit(0))).drop("hit", "rk")
 
 
 def train_trees(rows: DataFrame, least: int = 10, depth: int = 5) -> dict[str, object]:

@@ -10,9 +10,13 @@ STOPS, COMMAS = ("。", "！", "？", "!", "?"), ("，", ",", "、")
 LABELS = ("nsubj", "dobj", "appos", "conj", "nmod:tmod")
 
 
-def segmented(cut: DataFrame) -> DataFrame:
-    """Usable tokens of a segmented table (case_id, pos, word, type), each once."""
-    return cut.where(F.col("case_id").isNotNull() & F.col("word").isNotNull() & (F.col("word") != "")).select("case_id", "pos", "word", "type").distinct()
+def segmented(cut: DataFrame, together: bool = False) -> DataFrame:
+    """Usable tokens of a segmented table (case_id, pos, word, type), each once.
+
+    together brings the tokens of a case into one partition first, so that windows over cases and sentences shuffle nothing more.
+    """
+    usable = cut.where(F.col("case_id").isNotNull() & F.col("word").isNotNull() & (F.col("word") != "")).select("case_id", "pos", "word", "type")
+    return (usable.repartition("case_id") if together else usable).distinct()
 
 
 def with_sentences(tokens: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A pattern is `(a)<-[:dep]-(b)` style text: `<-[:dep]-` steps to a child with that label, `-[:dep]->` to the parent of a token
 with that label; `()` is a node without a role. `path ?name` gives a and b with an implied relation, `path1,path2` gives
-a-r and r-b. The text is parsed on the driver; each step becomes one join on (keys, idx).
+a-r and r-b. The text is parsed on the driver; each step becomes one sort-merge join on (keys, idx).
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigraph.session import merged
+
 # Numbers of the implied relations and of the default characters.
 IMPLIED = {"is": -1, "has": -2, "in": -3, "with": -4, "at": -5}
 CHARACTERS = {"jud": -6, "pol": -7, "pro": -8, "vic": -9, "cri": -10}
@@ -69,8 +71,11 @@ def parse(text: str) -> Pattern:
     return Pattern(text, paths, implied.strip() or None)
 
 
-def match_path(tokens: DataFrame, path: Path, keys: list[str]) -> DataFrame:
-    """keys and <role>_idx of every full match; tokens has keys, idx, head, dep."""
+def match_path(tokens: DataFrame, path: Path, keys: list[str], known: str = "") -> DataFrame:
+    """keys and <role>_idx of every full match; tokens has keys, idx, head, dep.
+
+    Of the role `known`, if it opens the path, the token need not be there: the caller joins it to one that is.
+    """
     slim = tokens.select(*keys, "idx", "head", "dep")
     cur = slim.select(*keys, *[F.col(c).alias(f"n0_{c}") for c in ("idx", "head", "dep")])
     for k, (way, dep) in enumerate(path.steps):
@@ -78,10 +83,13 @@ def match_path(tokens: DataFrame, path: Path, keys: list[str]) -> DataFrame:
         nxt = slim.select(*keys, *[F.col(c).alias(f"{there}_{c}") for c in ("idx", "head", "dep")])
         if way == "child":
             nxt = nxt.where(F.col(f"{there}_dep") == dep).withColumn(f"{here}_idx", F.col(f"{there}_head"))
-            cur = cur.join(nxt, [*keys, f"{here}_idx"])
+            if not k and known and path.roles[0] == known:
+                cur = nxt
+                continue
+            cur = cur.join(merged(nxt), [*keys, f"{here}_idx"])
         else:
             cur = cur.where(F.col(f"{here}_dep") == dep).withColumn(f"{there}_idx", F.col(f"{here}_head"))
-            cur = cur.join(nxt, [*keys, f"{there}_idx"])
+            cur = cur.join(merged(nxt), [*keys, f"{there}_idx"])
     named = [(k, r) for k, r in enumerate(path.roles) if r]
     out = cur.select(*keys, *[F.col(f"n{k}_idx").alias(f"{r}_idx") for k, r in named])
     for i, (_, r) in enumerate(named):
@@ -96,8 +104,8 @@ def match(tokens: DataFrame, pattern: str | Pattern, keys: list[str]) -> DataFra
     first = match_path(tokens, p.paths[0], keys)
     if p.implied:
         return first.select(*keys, "a_idx", F.lit(IMPLIED[p.implied]).alias("r_idx"), "b_idx")
-    second = match_path(tokens, p.paths[1], keys)
-    both = first.select(*keys, "a_idx", "r_idx").join(second.select(*keys, "r_idx", "b_idx"), [*keys, "r_idx"])
+    second = match_path(tokens, p.paths[1], keys, known="r")
+    both = first.select(*keys, "a_idx", "r_idx").join(merged(second.select(*keys, "r_idx", "b_idx")), [*keys, "r_idx"])
     return both.where(F.col("a_idx") != F.col("b_idx")).select(*keys, "a_idx", "r_idx", "b_idx").distinct()
 
 

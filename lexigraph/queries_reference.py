@@ -28,7 +28,12 @@ def segmented(spark: SparkSession, sf: str) -> DataFrame:
 
 def tree_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens with sentences and the surrogate tree."""
-    return tokens.surrogate_tree(tokens.with_sentences(segmented(spark, sf)))
+    return tokens.surrogate_tree(tokens.with_sentences(tokens.segmented(table(spark, sf, "lac_cut"), together=True)))
+
+
+def _stored_tokens(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """Keys, idx, head, dep and the named columns of tree_tokens on disk, without the shuffle files they came by."""
+    return materialize(tree_tokens(spark, sf).select(*KEYS, "idx", "head", "dep", *cols), tidy=True)
 
 
 def classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,24 +142,30 @@ def pattern_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def relation_features(spark: SparkSession, sf: str) -> DataFrame:
-    tok = materialize(tree_tokens(spark, sf))
-    return relations.features(patterns.match(tok, ARB, KEYS), tok, KEYS)
+    tok = _stored_tokens(spark, sf, "word", "type")
+    return relations.features(materialize(patterns.match(tok, ARB, KEYS), tidy=True), tok, KEYS)
 
 
 def label_join(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates labelled by gold relations: nouns and their heads, some of which are no candidates."""
-    tok = materialize(tree_tokens(spark, sf))
+    tok = _stored_tokens(spark, sf, "type")
     gold = tok.where("type = 'n'").select(*KEYS, F.col("idx").alias("a_idx"), F.lit(-2).alias("r_idx"), F.col("head").alias("b_idx"))
-    return relations.labelled(patterns.match(tok, AB, KEYS), gold, KEYS)
+    return relations.labelled(materialize(patterns.match(tok, AB, KEYS), tidy=True), gold, KEYS)
 
 
 def classifier_gate(spark: SparkSession, sf: str) -> DataFrame:
-    tok = materialize(tree_tokens(spark, sf))
-    cand = patterns.match_all(tok, [AB, ARB], KEYS)
-    rows = materialize(relations.labelled(relations.features(cand, tok, KEYS), cand.where("b_idx > a_idx").select(*KEYS, "a_idx", "r_idx", "b_idx"), KEYS))
+    tok = _stored_tokens(spark, sf, "word", "type")
+    cand = _matches(tok)
+    rows = materialize(relations.labelled(relations.features(cand, tok, KEYS), cand.where("b_idx > a_idx").select(*KEYS, "a_idx", "r_idx", "b_idx"), KEYS), tidy=True)
     return relations.gate(rows, relations.train_trees(rows)).select(*KEYS, "pattern", "a_idx", "r_idx", "b_idx")
 
 
+def _matches(tok: DataFrame) -> DataFrame:
+    """Matches of both patterns on disk, without the shuffle files that each came by."""
+    one, two = (materialize(patterns.match_all(tok, [p], KEYS), tidy=True) for p in (AB, ARB))
+    return one.unionByName(two)
+
+
 def token_display(spark: SparkSession, sf: str) -> DataFrame:
     return annotations.display(tree_tokens(spark, sf), KEYS)
 
@@ -316,8 +327,8 @@ def place_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _accepted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    tok = materialize(tree_tokens(spark, sf).select(*KEYS, "idx", "head", "dep", "word", "type"))
-    found = patterns.match_all(tok, [AB, ARB], KEYS).select(*KEYS, "a_idx", "r_idx", "b_idx")
+    tok = _stored_tokens(spark, sf, "word", "type")
+    found = _matches(tok).select(*KEYS, "a_idx", "r_idx", "b_idx")
     return graph.relation_graph(found, tok, KEYS)
 
 
@@ -364,8 +375,8 @@ STORE = ["(r)<-[:nsubj]-(a),(r)<-[:dobj]-(b)", "(b)<-[:appos]-(a) ?is"]
 
 def induced_patterns(spark: SparkSession, sf: str) -> DataFrame:
     """Patterns of the matched relations, written as the store has them."""
-    tok = materialize(tree_tokens(spark, sf).select(*KEYS, "idx", "head", "dep"))
-    found = patterns.match_all(tok, [AB, ARB], KEYS).select(*KEYS, "a_idx", "r_idx", "b_idx")
+    tok = _stored_tokens(spark, sf)
+    found = _matches(tok).select(*KEYS, "a_idx", "r_idx", "b_idx")
     store = spark.createDataFrame([(p, 3) for p in STORE], "pattern string, frequency long")
     return trees.induce_relations(tok, found, KEYS, store)
 
