@@ -17,23 +17,24 @@ FEATURES = ["pos_a", "pos_r", "pos_b", "ra", "ra_sign", "br", "br_sign", "ba", "
 def features(candidates: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Eleven numbers per candidate (keys, a_idx, r_idx, b_idx): tags, distances, signs, comma and stop in between.
 
-    An implied relation (r_idx <= 0) has the tag of others, distances 0, and signs as its number gives them.
+    An implied relation (r_idx <= 0) has the tag of others, distances 0, and signs as its number gives them. Candidates and
+    tokens of a sentence are brought together once, and the result is materialised.
     """
-    tag = tokens.select(*keys, "idx", X.tag_number("type").alias("tag"))
+    tag = tokens.select(*keys, "idx", X.tag_number("type").alias("tag")).repartition(*keys)
     marks = tokens.where(F.col("word").isin(*COMMAS, *STOPS)).groupBy(*keys).agg(
         F.collect_set(F.when(F.col("word").isin(*COMMAS), F.col("idx"))).alias("commas"),  # bounded by a sentence
         F.collect_set(F.when(F.col("word").isin(*STOPS), F.col("idx"))).alias("stops"),
     )
-    out = candidates.join(marks, keys, "left")
+    out = candidates.repartition(*keys).join(merged(marks), keys, "left")
     for role in "arb":
         side = tag.select(*keys, F.col("idx").alias(f"{role}_idx"), F.col("tag").alias(f"pos_{role}"))
-        out = out.join(side, [*keys, f"{role}_idx"], "left")
+        out = out.join(merged(side), [*keys, f"{role}_idx"], "left")
     a, r, b = F.col("a_idx"), F.col("r_idx"), F.col("b_idx")
     given = r > 0
     lo, hi = F.least(a, b, F.when(given, r)), F.greatest(a, b, F.when(given, r))
     between = lambda col: F.coalesce(F.exists(col, lambda x: (x > lo) & (x < hi)), F.lit(False))
     sign = lambda x: F.when(x > 0, 1).otherwise(-1)
-    return out.select(
+    out = out.select(
         *candidates.columns,
         F.coalesce("pos_a", F.lit(X.OTHER_TAG)).alias("pos_a"),
         F.coalesce("pos_r", F.lit(X.OTHER_TAG)).alias("pos_r"),
@@ -47,6 +48,7 @@ def features(candidates: DataFrame, tokens: DataFrame, keys: list[str]) -> DataF
         between("commas").cast("int").alias("comma"),
         F.when(between("stops"), 1).otherwise(-1).alias("stop"),
     )
+    return materialize(out, tidy=True, in_place=True)
 
 
 def without_distances(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """How the joins on tokens are planned, whatever the files on disk weigh."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexigraph import queries_reference as Q
 from lexigraph.operators import relations, tokens
@@ -35,6 +36,15 @@ def test_no_label_is_broadcast(tok):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("of", [relations.features])
+def test_no_token_is_broadcast_for_its_features_or_edges(monkeypatch, tok, of):
+    plans = []
+    for module in (relations,):
+        monkeypatch.setattr(module, "materialize", lambda df, **kw: plans.append(planned(df)) or materialize(df, **kw))
+    plans.append(planned(of(materialize(patterns.match(tok, Q.ARB, KEYS)), tok, KEYS)))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_tokens_with_sentences_are_shuffled_once(spark, tmp_path):
     rows = [(1, i, "w", "n") for i in range(9)]
     spark.createDataFrame(rows, "case_id long, pos int, word string, type string").write.parquet(f"{tmp_path}/lac_cut.parquet")
@@ -48,3 +58,11 @@ def test_predicate_without_a_token_gives_no_match(spark):
     tok = spark.createDataFrame(rows, "case_id long, sent_id int, idx int, head int, dep string")
     for text in (Q.ARB, "(r)<-[:nsubj]-(a),(r)<-[:dobj]-(b)", "(a)-[:nsubj]->(r),(b)-[:dobj]->(r)"):
         assert [(r.a_idx, r.r_idx, r.b_idx) for r in patterns.match(tok, text, KEYS).collect()] == [(5, 4, 6)]
+
+
+def test_features_of_candidates_lie_where_their_sentence_does(tok):
+    """Each candidate once, with the tags of its tokens, as a join on all keys gives them."""
+    found = materialize(patterns.match(tok, Q.ARB, KEYS))
+    got = relations.features(found, tok, KEYS)
+    assert got.count() == found.count() > 0 and got.where("pos_a <> 0 or pos_r <> 0 or pos_b <> 0").isEmpty()
+    assert got.select(F.sum(F.abs(F.col("a_idx") - F.col("r_idx")) - F.col("ra"))).first()[0] == 0
