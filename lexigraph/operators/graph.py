@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexigraph.functions import scalars as X
 from lexigraph.operators import search
 from lexigraph.plans.patterns import IMPLIED
-from lexigraph.session import broadcast_if_small, materialize
+from lexigraph.session import broadcast_if_small, materialize, merged
 
 EDGE = ["src_label", "src", "type", "dst_label", "dst"]
 # Part of a tag, the label it gives and the relation of a case to nodes of it; the first part found decides.
@@ -95,10 +95,12 @@ def relation_graph(relations: DataFrame, tokens: DataFrame, keys: list[str]) ->
     whole tag, others are Entity; the names of persons are their case's own.
     """
     implied = F.create_map(*[F.lit(x) for name, k in IMPLIED.items() for x in (k, name)])
-    out = relations.select(*keys, "a_idx", "r_idx", "b_idx").distinct()
+    out = relations.select(*keys, "a_idx", "r_idx", "b_idx").repartition(*keys).distinct()
+    tokens = tokens.select(*keys, "idx", "word", "type").repartition(*keys)
     for role in "arb":
         side = tokens.select(*keys, F.col("idx").alias(f"{role}_idx"), F.struct("word", "type").alias(role))
-        out = out.join(side, [*keys, f"{role}_idx"], "left")
+        out = out.join(merged(side), [*keys, f"{role}_idx"], "left")
+    out = materialize(out, tidy=True, in_place=True)
     told = lambda role: F.when(F.col(f"{role}_idx") < 0, F.struct(implied[F.col(f"{role}_idx")].alias("word"), F.lit(None).cast("string").alias("type"))).otherwise(F.col(role))
     out = out.withColumns({r: told(r) for r in "arb"}).where(F.col("a.word").isNotNull() & F.col("r.word").isNotNull() & F.col("b.word").isNotNull())
     case = case_name()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigraph import queries_reference as Q
-from lexigraph.operators import relations, tokens
+from lexigraph.operators import graph, relations, tokens
 from lexigraph.plans import patterns
 from lexigraph.session import materialize
 
@@ -36,10 +36,10 @@ def test_no_label_is_broadcast(tok):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("of", [relations.features])
+@pytest.mark.parametrize("of", [relations.features, lambda *x: graph.relation_graph(*x)[1]])
 def test_no_token_is_broadcast_for_its_features_or_edges(monkeypatch, tok, of):
     plans = []
-    for module in (relations,):
+    for module in (relations, graph):
         monkeypatch.setattr(module, "materialize", lambda df, **kw: plans.append(planned(df)) or materialize(df, **kw))
     plans.append(planned(of(materialize(patterns.match(tok, Q.ARB, KEYS)), tok, KEYS)))
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
