@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lexigraph.plans.patterns import IMPLIED
-from lexigraph.session import broadcast_if_small, materialize
+from lexigraph.session import broadcast_if_small, materialize, merged
 
 
 def edges(tokens: DataFrame, keys: list[str], by_text: bool = False) -> DataFrame:
@@ -97,7 +97,7 @@ def _sentences(tokens: DataFrame, asked: DataFrame, keys: list[str]) -> DataFram
     """Sentences that are asked about: keys, t (tokens), p (what is asked); both lists are bounded by the sentence."""
     trees = tokens.groupBy(*keys).agg(F.collect_list(F.struct("idx", "head", "dep")).alias("t"))
     rest = [c for c in asked.columns if c not in keys]
-    return asked.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("p")).join(trees, keys)
+    return asked.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("p")).join(merged(trees), keys)
 
 
 def _answered(df: DataFrame, keys: list[str], answers, schema: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigraph import queries_reference as Q
-from lexigraph.operators import graph, relations, tokens
+from lexigraph.operators import graph, relations, tokens, trees
 from lexigraph.plans import patterns
 from lexigraph.session import materialize
 
@@ -36,6 +36,11 @@ def test_no_label_is_broadcast(tok):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_no_sentence_is_broadcast_for_an_induced_pattern(tok):
+    plan = planned(trees.induce_relations(tok, materialize(patterns.match(tok, Q.ARB, KEYS)), KEYS))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("of", [relations.features, lambda *x: graph.relation_graph(*x)[1]])
 def test_no_token_is_broadcast_for_its_features_or_edges(monkeypatch, tok, of):
     plans = []
